@@ -118,7 +118,8 @@ def exact_duplicates(docs: DataFrame, ws: Workspace, modulus: int = MODULUS, spl
     wanted = members.select("doc_id", "text_sha256").distinct()
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
     norm = F.sha2(F.regexp_replace(F.col("raw").cast("string"), SPACE, " "), 256)
-    texts = raw.join(wanted, "doc_id").where(norm == F.col("text_sha256"))
+    # Always by sort and merge: the list of ids grows with the input, and a plan that changes with it would not scale alike.
+    texts = raw.join(wanted.hint("merge"), "doc_id").where(norm == F.col("text_sha256"))
     texts = ws.save(texts.select("doc_id", "text_sha256", "raw"), "texts")
     todo, settled = members, []
     while True:
