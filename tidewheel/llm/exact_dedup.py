@@ -113,7 +113,7 @@ def exact_duplicates(docs: DataFrame, ws: Workspace, modulus: int = MODULUS, spl
     known = fps.where("doc_id is not null")
     key = ["fp", "n_bytes"]
     groups = ws.save(known.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.min(F.struct("doc_id", "text_sha256"))["text_sha256"].alias("first_sha")).where("group_size > 1"), "groups")
-    members = ws.save(known.join(groups, key).select("doc_id", "keep_id", "text_sha256", "first_sha", "n_bytes", "fp").distinct(), "members")
+    members = ws.save(known.join(groups, key).select("doc_id", "keep_id", "text_sha256", "first_sha", "n_bytes", "fp"), "members")
     # Whole texts of nominated documents only; what a group's texts are compared with is its first text.
     wanted = members.select("doc_id", "text_sha256").distinct()
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
@@ -123,7 +123,7 @@ def exact_duplicates(docs: DataFrame, ws: Workspace, modulus: int = MODULUS, spl
     texts = ws.save(texts.select("doc_id", "text_sha256", "raw"), "texts")
     todo, settled = members, []
     while True:
-        pairs = todo.where("doc_id <> keep_id or text_sha256 <> first_sha").select("doc_id", "text_sha256", "keep_id", "first_sha")
+        pairs = todo.where("doc_id <> keep_id or text_sha256 <> first_sha").select("doc_id", "text_sha256", "keep_id", "first_sha").distinct()
         firsts = texts.join(todo.select(F.col("keep_id").alias("doc_id"), F.col("first_sha").alias("text_sha256")).distinct(), ["doc_id", "text_sha256"])
         firsts = ws.save(firsts.dropDuplicates(["doc_id", "text_sha256"]).select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("first_sha"), F.col("raw").alias("first_raw")), "firsts")
         named = ws.save(texts.join(pairs, ["doc_id", "text_sha256"]), "named")
@@ -142,7 +142,7 @@ def exact_duplicates(docs: DataFrame, ws: Workspace, modulus: int = MODULUS, spl
         first = ws.save(rest.groupBy(*key).agg(F.min(F.struct("doc_id", "text_sha256")).alias("f")), "first")
         todo = ws.save(rest.join(first, key).select("*", F.col("f.doc_id").alias("keep_id"), F.col("f.text_sha256").alias("first_sha")).drop("f"), "todo")
     classes = settled[0] if len(settled) == 1 else ws.save(_all(settled), "classes")
-    classes = classes.select("doc_id", "text_sha256", "keep_id", "first_sha")
+    classes = classes.select("doc_id", "text_sha256", "keep_id", "first_sha").distinct()
     if len(settled) == 1:
         # Every nomination held: sizes are those of the groups.
         out = known.join(groups, key, "left")
