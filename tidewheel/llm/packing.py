@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -39,7 +38,14 @@ def _printable() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=1)
 def load_encoder(path: str):
     """A function from text to ids equal to those of ``tokenizers`` for this file.
 
@@ -47,12 +53,9 @@ def load_encoder(path: str):
     in a faster library; texts with a special token's string, and all other
     kinds of files, go to ``tokenizers`` itself.
     """
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(path)
 
     def plain(text: str) -> list[int]:
-        return slow.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return _library(path).encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -136,15 +139,14 @@ def pack(docs: DataFrame, ws: Workspace, tokenizer: str | None = None, room: int
     # The place in the input partition keeps copies of one row apart; the table is written, so a retry sees the same.
     keyed = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.col("nth") % GROUP, F.lit(seed)), F.lit(groups)))
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "nth", "start", "ids_crc32"], ignore_index=True)
-        where, at, bins = first_fit_decreasing(pdf["length"].to_numpy(), room)
-        used = np.bincount(where, weights=pdf["length"], minlength=bins).astype(np.int64)
+    def fill(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("doc_id", "nth", "start", "ids_crc32")])
+        lengths = table.column("length").to_numpy()
+        where, at, bins = first_fit_decreasing(lengths, room)
+        used = np.bincount(where, weights=lengths, minlength=bins).astype(np.int64)
         padded = np.where(used & (used - 1) == 0, used, room)
-        return pdf.assign(sequence_id=pdf["grp"] * (1 << 32) + where, offset=at, padded=padded[where])[cols]
+        made = [table.column("grp").to_numpy() * (1 << 32) + where, at, padded[where]]
+        return pa.table([*(table.column(c) for c in cols[:5]), *map(pa.array, made)], names=cols)
 
     cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded"]
-    # A missing doc_id would turn the column into floats in pandas.
-    keyed = keyed.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
-    out = keyed.groupBy("grp").applyInPandas(fill, ", ".join(f"{c} long" for c in cols))
-    return out.withColumn("doc_id", F.when(F.col("doc_id") == F.lit(-(2**63)), F.lit(None)).otherwise(F.col("doc_id")))
+    return keyed.groupBy("grp").applyInArrow(fill, ", ".join(f"{c} long" for c in cols))

@@ -9,8 +9,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes that go to a Python worker at once: long texts must not pile up there.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Small Arrow batches for what is run inside."""
+    was = {k: spark.conf.get(k, None) for k in BATCH}
+    try:
+        for k, v in BATCH.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a fresh local one only where that is unset.
@@ -42,7 +60,8 @@ class Workspace:
         """Write ``df`` once and return the written table."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{label}"
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tidewheel_path = path
         return out
