@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, packing, sharding, simhash
+from . import exact_dedup, html_text, langid, licenses, mixing, packing, sharding, simhash, urls, vectors
 from .store import Workspace
 
 
@@ -16,6 +16,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), Workspace(spark, "op1"))
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"), Workspace(spark, "op2"))
+
+
 def op3_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), Workspace(spark, "op3"))
 
@@ -24,6 +28,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), Workspace(spark, "op4"))
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), Workspace(spark, "op5"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), Workspace(spark, "op6"))
 
@@ -32,7 +40,21 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), Workspace(spark, "op7"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_exact, op4_mixing, op6_packing, op7_sharding)}
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = licenses.document_paths(_table(spark, sf_dir, "documents"))
+    found = licenses.scan(files, Workspace(spark, "op8"))
+    return found.withColumn("doc_id", F.regexp_extract("path", r"([0-9-]+)\.txt$", 1).cast("long"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_table(spark, sf_dir, "pages"), Workspace(spark, "op10"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_vectors, op3_exact, op4_mixing, op5_urls, op6_packing, op7_sharding, op8_licenses, op9_language, op10_html)}
 
 ORACLES = {
     "op3_exact": r"""
