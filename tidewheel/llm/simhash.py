@@ -34,22 +34,34 @@ BUCKET = 32
 BLOCK = 1 << 16
 
 
-def fingerprint(raw: bytes, width: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of a UTF-8 text: a bit is 1 if set in over half of its shingles' hashes."""
+def shingle_hashes(raw: bytes, width: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of every word shingle of a UTF-8 text in order, a block at a time; a shorter text is one shingle."""
     words = raw.lower().split()
     if not words:
-        return 0
+        return
     buf, n = b" ".join(words), max(1, len(words) - width + 1)
     gaps = np.flatnonzero(np.frombuffer(buf, np.uint8) == 32)
     starts = np.concatenate(([0], gaps + 1))[:n].tolist()
     ends = np.concatenate((gaps, [len(buf)]))[min(width, len(words)) - 1 :].tolist()
-    h, total = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    h = xxhash.xxh64_intdigest
     for i in range(0, n, BLOCK):
-        got = np.array([h(buf[s:e], seed) for s, e in zip(starts[i : i + BLOCK], ends[i : i + BLOCK], strict=False)], np.uint64)
+        yield np.array([h(buf[s:e], seed) for s, e in zip(starts[i : i + BLOCK], ends[i : i + BLOCK], strict=False)], np.uint64)
+
+
+def majority(blocks: Iterator[np.ndarray]) -> int:
+    """A bit is 1 if set in over half of all hashes; zero without any."""
+    n, total = 0, np.zeros(BITS, np.int64)
+    for got in blocks:
+        n += len(got)
         total += np.unpackbits(got.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(raw: bytes, width: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of a UTF-8 text."""
+    return majority(shingle_hashes(raw, width, seed))
+
+
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """doc_id and fp (its 64 bits as a long) of every row; a null text counts as empty."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
@@ -222,6 +234,19 @@ def star(hot: DataFrame, tau: int) -> DataFrame:
     return sets.where(F.size(mid) > 0).select(F.element_at(mid, 1)["rep"].alias("a"), F.explode(F.transform("who", lambda x: x["rep"])).alias("b")).where("a <> b")
 
 
+def fingerprint_components(fps: DataFrame, ws: Workspace, tau: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """fp and component_id (smallest doc_id reachable) of every distinct fingerprint in ``fps`` (doc_id, fp)."""
+    groups = ws.save(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "groups")
+    known = groups.where("rep is not null")
+    # One doc_id may stand for two texts: fingerprints are named by a number of their own.
+    named = known.select("fp", F.xxhash64("fp").alias("rep"))
+    comp = connected_components(links(named, ws, tau, bucket=bucket), ws)
+    tied = ws.save(named.join(comp.select(F.col("id").alias("rep"), "component"), "rep").select("fp", "component"), "tied")
+    least = ws.save(tied.join(known, "fp").groupBy("component").agg(F.min("rep").alias("component_id")), "least")
+    linked = ws.save(tied.join(least, "component").select("fp", F.col("component_id").alias("far")), "linked")
+    return ws.save(groups.join(linked, "fp", "left").select("fp", F.coalesce("far", "rep").alias("component_id")), "ids")
+
+
 def near_duplicates(docs: DataFrame, ws: Workspace, width: int = 3, tau: int = 2, seed: int = 42, bucket: int = BUCKET) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, kept.
 
@@ -235,15 +260,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, width: int = 3, tau: int = 2
     result; further columns are ignored.
     """
     fps = ws.save(fingerprints(docs, width, seed), "fingerprints")
-    groups = ws.save(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "groups")
-    known = groups.where("rep is not null")
-    # One doc_id may stand for two texts: fingerprints are named by a number of their own.
-    named = known.select("fp", F.xxhash64("fp").alias("rep"))
-    comp = connected_components(links(named, ws, tau, bucket=bucket), ws)
-    tied = ws.save(named.join(comp.select(F.col("id").alias("rep"), "component"), "rep").select("fp", "component"), "tied")
-    least = ws.save(tied.join(known, "fp").groupBy("component").agg(F.min("rep").alias("component_id")), "least")
-    linked = ws.save(tied.join(least, "component").select("fp", F.col("component_id").alias("far")), "linked")
-    ids = ws.save(groups.join(linked, "fp", "left").select("fp", F.coalesce("far", "rep").alias("component_id")), "ids")
+    ids = fingerprint_components(fps, ws, tau, bucket)
     return fps.join(ids, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
@@ -252,11 +269,126 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, ws: Workspace, width: int = 5, tau: int = 2, seed: int = 42) -> DataFrame:
-    """``docs`` with one document of each group, with the columns of ``docs``.
+# Similarity of 0.8 on five-word shingles is out of reach for whole-text fingerprints:
+# such texts differ in up to 16 of 64 bits and more.  Fingerprints of sampled shingles
+# find them, and the full sets of shingles decide.
+
+#: Hash ranges a text is sampled in, and shingles of least hash taken of each.
+RANGES, TAKE = 8, 3
+#: Texts of one sampled fingerprint that are compared in one task.
+TOGETHER = 512
+
+
+def sampled_keys(hashes: np.ndarray) -> list[int]:
+    """A fingerprint of the least hashes in each range of hash values; none for an empty range.
+
+    Texts of Jaccard similarity J agree in a range with a chance of J**TAKE at least.
+    """
+    h = np.unique(hashes)
+    edges = np.searchsorted(h, np.arange(RANGES, dtype=np.uint64) << np.uint64(61)).tolist() + [len(h)]
+    return [_long(xxhash.xxh64_intdigest(h[a : min(a + TAKE, b)].tobytes(), r)) for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+
+
+def sketches(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
+    """doc_id, fp and sampled keys of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, keys = [], []
+            for x in b.column(1):
+                blocks = list(shingle_hashes(x.as_py(), width, seed))
+                fps.append(_long(majority(iter(blocks))))
+                keys.append(sampled_keys(np.concatenate(blocks)) if blocks else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+
+    return rows.mapInArrow(hashed, "doc_id long, fp long, keys array<long>")
+
+
+def similar_sets(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the texts whose sets have Jaccard similarity ``least`` or more; with ``cross`` only between the two sides."""
+    size = np.array([len(x) for x in sets])
+    values, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    keep = count[where] > 1
+    held = np.zeros((len(sets), int((count > 1).sum())), np.float32)
+    held[np.repeat(np.arange(len(sets)), size)[keep], column[where[keep]]] = 1
+    both = held @ held.T
+    near = both >= least * (size[:, None] + size[None, :] - both) - 1e-6
+    if cross:
+        near &= side[:, None] != side[None, :]
+    np.fill_diagonal(near, False)
+    root = ids.copy()
+    big = np.iinfo(np.int64).max
+    while True:
+        new = np.minimum(root, np.where(near, root[None, :], big).min(axis=1))
+        if (new == root).all():
+            break
+        root = new
+    return [(int(a), int(b)) for a, b in zip(ids, root, strict=True) if a != b]
+
+
+def similar_links(docs: DataFrame, keyed: DataFrame, ws: Workspace, width: int, seed: int, least: float, together: int = TOGETHER) -> DataFrame:
+    """Edges (a, b) that connect documents of similarity ``least`` or more which share a sampled key.
+
+    ``keyed``: doc_id and keys.  A key's documents are compared in blocks of
+    about ``together``, every block with every other, and each comparison returns
+    a forest.
+    """
+    each = keyed.where("doc_id is not null").select("doc_id", F.explode("keys").alias("key"))
+    counts = ws.save(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key_counts")
+    shared = ws.save(each.join(counts, "key"), "shared")
+    members = ws.save(shared.select("doc_id").distinct(), "members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw")).join(members.hint("merge"), "doc_id")
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for x in b.column(1):
+                blocks = list(shingle_hashes(x.as_py() or b"", width, seed))
+                got = np.concatenate(blocks) if blocks else np.empty(0, np.uint64)
+                sets.append(np.unique((got >> np.uint64(16)).astype(np.uint32)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
+
+    sets = ws.save(texts.mapInArrow(to_sets, "doc_id long, hashes binary"), "sets")
+    blocks = F.ceil(F.col("n") / together).cast("int")
+    own = F.pmod(F.xxhash64("doc_id", "key"), blocks).cast("int")
+    rows = shared.select("doc_id", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.join(sets, "doc_id").select("doc_id", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "hashes")
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table.column("own").to_numpy()
+        cross = bool(table.column("lo")[0].as_py() != table.column("hi")[0].as_py())
+        out = []
+        if len(table) > 1:
+            got = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
+            out = similar_sets(table.column("doc_id").to_numpy(), got, side, cross, least)
+        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    return ws.save(rows.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long"), "similar")
+
+
+def similar_documents(docs: DataFrame, ws: Workspace, width: int = 5, least: float = 0.8, tau: int = 2, seed: int = 42) -> DataFrame:
+    """doc_id and component_id of documents that are not alone in their component.
+
+    Documents link when their fingerprints differ in ``tau`` bits or fewer, or
+    when their sets of shingles have Jaccard similarity ``least`` or more and
+    they share a sampled fingerprint (99.7 % of pairs at 0.8, more above).
+    Words are lower-cased (A-Z); texts without words link with each other; a row
+    without doc_id links with nothing.  Empty table: empty result.
+    """
+    drawn = ws.save(sketches(docs, width, seed), "sketches")
+    ids = fingerprint_components(drawn.select("doc_id", "fp"), ws, tau)
+    exact = drawn.where("doc_id is not null").select("doc_id", "fp").join(ids, "fp").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).where("a <> b")
+    edges = exact.unionByName(similar_links(docs, drawn, ws, width, seed, least))
+    return connected_components(edges, ws).select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, ws: Workspace, width: int = 5, least: float = 0.8, tau: int = 2, seed: int = 42) -> DataFrame:
+    """``docs`` with one document of each group of near copies, with the columns of ``docs``.
 
-    Documents of one component with empty texts included; rows without doc_id stay.
+    The smallest doc_id of a component stays; rows without doc_id all stay.
     """
-    found = near_duplicates(docs, ws, width, tau, seed)
-    gone = ws.save(found.where("doc_id is not null and not kept").select("doc_id", "fingerprint").distinct(), "gone")
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = similar_documents(docs, ws, width, least, tau, seed)
+    gone = ws.save(found.where("doc_id <> component_id").select("doc_id"), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
