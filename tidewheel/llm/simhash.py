@@ -275,8 +275,8 @@ def hex16(fp: Column) -> Column:
 
 #: Hash ranges a text is sampled in, and shingles of least hash taken of each.
 RANGES, TAKE = 8, 3
-#: Texts of one sampled fingerprint that are compared in one task.
-TOGETHER = 512
+#: Texts of one sampled fingerprint, and shingles of them, that make a block.
+TOGETHER, SHINGLES = 512, 200_000
 
 
 def sampled_keys(hashes: np.ndarray) -> list[int]:
@@ -290,30 +290,45 @@ def sampled_keys(hashes: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
-    """doc_id, fp and sampled keys of every row."""
+    """doc_id, fp, number of shingles and sampled keys of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, keys = [], []
+            fps, sizes, keys = [], [], []
             for x in b.column(1):
                 blocks = list(shingle_hashes(x.as_py(), width, seed))
+                sizes.append(sum(map(len, blocks)))
                 fps.append(_long(majority(iter(blocks))))
                 keys.append(sampled_keys(np.concatenate(blocks)) if blocks else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
-
-    return rows.mapInArrow(hashed, "doc_id long, fp long, keys array<long>")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "size", "keys"])
+
+    return rows.mapInArrow(hashed, "doc_id long, fp long, size long, keys array<long>")
+
+
+def common(sets: list[np.ndarray], size: np.ndarray, at_once: int = 4096) -> np.ndarray:
+    """Number of common values of each two sets: products of 0/1 columns, a bounded number at once."""
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), size)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    first = np.concatenate(([True], values[1:] != values[:-1]))
+    shared = np.diff(np.append(np.flatnonzero(first), len(values))) > 1
+    column = np.cumsum(first) - 1
+    keep = shared[column]
+    owner, column = owner[keep], (np.cumsum(shared) - 1)[column[keep]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, int(shared.sum()), at_once):
+        i, j = np.searchsorted(column, [a, a + at_once])
+        held = np.zeros((len(sets), at_once), np.float32)
+        held[owner[i:j], column[i:j] - a] = 1
+        both += held @ held.T
+    return both
 
 
 def similar_sets(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool, least: float) -> list[tuple[int, int]]:
     """A spanning forest of the texts whose sets have Jaccard similarity ``least`` or more; with ``cross`` only between the two sides."""
     size = np.array([len(x) for x in sets])
-    values, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    column = np.cumsum(count > 1) - 1
-    keep = count[where] > 1
-    held = np.zeros((len(sets), int((count > 1).sum())), np.float32)
-    held[np.repeat(np.arange(len(sets)), size)[keep], column[where[keep]]] = 1
-    both = held @ held.T
+    both = common(sets, size)
     near = both >= least * (size[:, None] + size[None, :] - both) - 1e-6
     if cross:
         near &= side[:, None] != side[None, :]
@@ -331,12 +346,15 @@ def similar_sets(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cros
 def similar_links(docs: DataFrame, keyed: DataFrame, ws: Workspace, width: int, seed: int, least: float, together: int = TOGETHER) -> DataFrame:
     """Edges (a, b) that connect documents of similarity ``least`` or more which share a sampled key.
 
-    ``keyed``: doc_id and keys.  A key's documents are compared in blocks of
-    about ``together``, every block with every other, and each comparison returns
-    a forest.
+    ``keyed``: doc_id, size and keys.  A key's documents are compared in blocks
+    of about ``together`` and of ``SHINGLES`` shingles, every block with every
+    other, and each comparison returns a forest.
     """
-    each = keyed.where("doc_id is not null").select("doc_id", F.explode("keys").alias("key"))
-    counts = ws.save(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key_counts")
+    each = keyed.where("doc_id is not null").select("doc_id", "size", F.explode("keys").alias("key"))
+    blocks = F.greatest(F.ceil(F.col("n") / together), F.ceil(F.col("all") / SHINGLES)).cast("int")
+    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all")).where("n > 1")
+    counts = ws.save(counts.select("key", F.least(blocks, F.col("n").cast("int")).alias("blocks")), "key_counts")
+    each = each.select("doc_id", "key")
     shared = ws.save(each.join(counts, "key"), "shared")
     members = ws.save(shared.select("doc_id").distinct(), "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw")).join(members.hint("merge"), "doc_id")
@@ -351,9 +369,8 @@ def similar_links(docs: DataFrame, keyed: DataFrame, ws: Workspace, width: int,
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
 
     sets = ws.save(texts.mapInArrow(to_sets, "doc_id long, hashes binary"), "sets")
-    blocks = F.ceil(F.col("n") / together).cast("int")
-    own = F.pmod(F.xxhash64("doc_id", "key"), blocks).cast("int")
-    rows = shared.select("doc_id", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    own = F.pmod(F.xxhash64("doc_id", "key"), "blocks").cast("int")
+    rows = shared.select("doc_id", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.join(sets, "doc_id").select("doc_id", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "hashes")
 
     def compare(table: pa.Table) -> pa.Table:
