@@ -180,7 +180,7 @@ def drop_exact_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     gone = ws.save(found.where("doc_id is not null and doc_id <> keep_id").select("doc_id", "text_sha256").distinct(), "gone")
     norm = F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE, " "), 256)
     marked = docs.withColumn("_sha", norm)
-    rest = marked.join(gone.select(F.col("doc_id"), F.col("text_sha256").alias("_sha")), ["doc_id", "_sha"], "left_anti")
+    rest = marked.join(gone.select(F.col("doc_id"), F.col("text_sha256").alias("_sha")).hint("merge"), ["doc_id", "_sha"], "left_anti")
     many = ws.save(found.where("doc_id = keep_id and not kept").select("doc_id").distinct(), "many")
     if not many.limit(1).count():
         return rest.select(*docs.columns)

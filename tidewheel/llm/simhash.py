@@ -408,4 +408,4 @@ def drop_near_duplicates(docs: DataFrame, ws: Workspace, width: int = 5, least:
     """
     found = similar_documents(docs, ws, width, least, tau, seed)
     gone = ws.save(found.where("doc_id <> component_id").select("doc_id"), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
