@@ -276,7 +276,7 @@ def hex16(fp: Column) -> Column:
 #: Hash ranges a text is sampled in, and shingles of least hash taken of each.
 RANGES, TAKE = 8, 3
 #: Texts of one sampled fingerprint, and shingles of them, that make a block.
-TOGETHER, SHINGLES = 512, 200_000
+TOGETHER, SHINGLES = 256, 200_000
 
 
 def sampled_keys(hashes: np.ndarray) -> list[int]:
