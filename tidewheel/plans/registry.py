@@ -1,6 +1,316 @@
-"""All queries over the engine's own operators, with their oracle SQL."""
+"""All queries over the engine's own operators; their oracle SQL is in ``oracles``."""
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..functions import models
+from ..functions.clock import minute_stamp, output_name, stamp, stem
+from ..functions.text import agreement_key, collapse, ends_sentence, nonempty_join, screen_lines, sentence_case, token_budget, tokens, wrap_two
+from ..operators import agreement, assemble, punctuate, signal, speakers, words
+from ..sources import files
+from . import fixtures as fx
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+#: Voiced frames of the event signal.
+LOUD = 5.0
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    return assemble.turns(fx.words(spark, d)).select("rec_id", "turn_no", "spk", "start_ms", "end_ms", "n_words", "text")
+
+
+@query
+def turn_stats(spark: SparkSession, d: str) -> DataFrame:
+    return assemble.turn_stats(assemble.turns(fx.words(spark, d)))
+
+
+@query
+def turn_lines_txt(spark: SparkSession, d: str) -> DataFrame:
+    return assemble.txt_lines(assemble.turns(fx.words(spark, d)))
+
+
+@query
+def txt_transcripts(spark: SparkSession, d: str) -> DataFrame:
+    return files.txt_files(assemble.turns(fx.words(spark, d)))
+
+
+@query
+def words_from_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return words.words_from_tokens(fx.tokens(fx.words(spark, d)))
+
+
+@query
+def even_spread(spark: SparkSession, d: str) -> DataFrame:
+    w = fx.words(spark, d)
+    return words.even_spread(words.words_from_tokens(fx.tokens(w)), fx.token_blocks(w))
+
+
+@query
+def widen_words(spark: SparkSession, d: str) -> DataFrame:
+    return words.widen(fx.words(spark, d)).select("rec_id", "idx", "w", "start_ms", "end_ms")
+
+
+@query
+def speaker_runs(spark: SparkSession, d: str) -> DataFrame:
+    return speakers.run_table(fx.words(spark, d))
+
+
+@query
+def smooth_speakers(spark: SparkSession, d: str) -> DataFrame:
+    return speakers.smooth(fx.words(spark, d)).select("rec_id", "idx", "spk", "relabelled")
+
+
+@query
+def smoothed_count(spark: SparkSession, d: str) -> DataFrame:
+    return speakers.smooth(fx.words(spark, d)).groupBy("rec_id").agg(F.sum(F.col("relabelled").cast("long")).alias("relabelled"))
+
+
+@query
+def speaker_at_overlap(spark: SparkSession, d: str) -> DataFrame:
+    w = fx.words(spark, d)
+    return speakers.overlap_best(w, fx.segments(w)).select("rec_id", "idx", "spk")
+
+
+@query
+def speaker_at_nearest(spark: SparkSession, d: str) -> DataFrame:
+    w = fx.words(spark, d)
+    return speakers.nearest(w, fx.segments(w)).select("rec_id", "idx", "spk")
+
+
+@query
+def speaker_at_full(spark: SparkSession, d: str) -> DataFrame:
+    w = fx.words(spark, d)
+    return speakers.attach(w, fx.segments(w)).select("rec_id", "idx", "spk")
+
+
+@query
+def speaker_names(spark: SparkSession, d: str) -> DataFrame:
+    w = fx.words(spark, d)
+    return w.groupBy("rec_id", "spk").agg(F.count(F.lit(1)).alias("n")).select("rec_id", "spk", speakers.label(F.col("spk"), {1: "Vedėja"}).alias("who"), "n")
+
+
+@query
+def cues(spark: SparkSession, d: str) -> DataFrame:
+    return assemble.cues(fx.words(spark, d)).select("rec_id", "cue_no", "spk", "start_ms", "end_ms", "text")
+
+
+@query
+def cue_lines(spark: SparkSession, d: str) -> DataFrame:
+    return assemble.cues(fx.words(spark, d)).select("rec_id", "cue_no", F.array_join("lines", "\n").alias("lines"), F.size("lines").cast("long").alias("n_lines"))
+
+
+@query
+def srt_rows(spark: SparkSession, d: str) -> DataFrame:
+    return assemble.srt_rows(assemble.cues(fx.words(spark, d)))
+
+
+@query
+def vtt_rows(spark: SparkSession, d: str) -> DataFrame:
+    return assemble.vtt_rows(assemble.cues(fx.words(spark, d)))
+
+
+@query
+def transcript_json(spark: SparkSession, d: str) -> DataFrame:
+    """Written as JSON and read back: the words must return."""
+    w = fx.words(spark, d)
+    return files.parse_transcripts(assemble.transcript_json(assemble.turns(w), w))
+
+
+@query
+def cues_from_json(spark: SparkSession, d: str) -> DataFrame:
+    w = fx.words(spark, d)
+    back = files.parse_transcripts(assemble.transcript_json(assemble.turns(w), w))
+    return assemble.cues(back).select("rec_id", "cue_no", "spk", "start_ms", "end_ms", "text")
+
+
+@query
+def frame_rms(spark: SparkSession, d: str) -> DataFrame:
+    return fx.frames(spark, d).select("rec_id", "frame", F.round("rms", 6).alias("rms"))
+
+
+@query
+def sample_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Events as samples in order of time, frames of 8."""
+    ev = fx.table(spark, d, "events")
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    return signal.frame_rms(ev.select(F.col("user_id").alias("rec_id"), i.alias("i"), F.col("value").alias("v")), 8).select("rec_id", F.col("frame").cast("long").alias("frame"), F.round("rms", 6).alias("rms"))
+
+
+@query
+def signal_gain(spark: SparkSession, d: str) -> DataFrame:
+    """Every third recording scaled down, every seventh to silence."""
+    scale = F.when(F.col("user_id") % 7 == 0, 1e-9).when(F.col("user_id") % 3 == 0, 1e-3).otherwise(1.0)
+    got = signal.signal_gain(fx.table(spark, d, "events").select(F.col("user_id").alias("rec_id"), (F.col("value") * scale).alias("v")))
+    return got.select("rec_id", F.round("rms", 6).alias("rms"), F.round("peak", 9).alias("peak"), "rejected", F.round("gain", 6).alias("gain"))
+
+
+def _regions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    fr = fx.frames(spark, d)
+    return fr, signal.speech_regions(fr, LOUD)
+
+
+@query
+def speech_regions(spark: SparkSession, d: str) -> DataFrame:
+    return _regions(spark, d)[1]
+
+
+@query
+def pause_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The whole signal of every recording as one region."""
+    fr = fx.frames(spark, d)
+    whole = fx.totals(fr).select("rec_id", F.lit(0).cast("long").alias("region_no"), F.lit(0).cast("long").alias("f0"), F.col("total").alias("f1"))
+    return signal.pause_blocks(fr, whole)
+
+
+def _gated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    fr, regions = _regions(spark, d)
+    return fx.totals(fr), regions.withColumnRenamed("region_no", "block_no")
+
+
+@query
+def gated_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Regions cut at pauses: the file path's blocks."""
+    fr, regions = _regions(spark, d)
+    return signal.pause_blocks(fr, regions, least=2)
+
+
+@query
+def skipped_ranges(spark: SparkSession, d: str) -> DataFrame:
+    total, blocks = _gated(spark, d)
+    return signal.skipped_ranges(blocks, total)
+
+
+@query
+def speech_totals(spark: SparkSession, d: str) -> DataFrame:
+    total, blocks = _gated(spark, d)
+    return signal.speech_totals(blocks, total)
+
+
+@query
+def empty_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Every third region gave words."""
+    _, blocks = _gated(spark, d)
+    return signal.empty_blocks(blocks, blocks.where("block_no % 3 = 0"))
+
+
+@query
+def progress_sample(spark: SparkSession, d: str) -> DataFrame:
+    _, blocks = _gated(spark, d)
+    return signal.progress_sample(blocks.select("rec_id", F.col("block_no").alias("step")))
+
+
+@query
+def punct_chunks(spark: SparkSession, d: str) -> DataFrame:
+    got = punctuate.chunks(fx.docs_words(spark, d))
+    return got.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.size("toks").cast("long").alias("n"), F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), F.col("toks")[0].alias("first_tok"))
+
+
+@query
+def punct_guard(spark: SparkSession, d: str) -> DataFrame:
+    """A tagger that breaks words is refused, chunk by chunk."""
+    got = punctuate.guarded(models.tag_chunks(punctuate.chunks(fx.docs_words(spark, d)), models.violating))
+    return got.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "refused")
+
+
+@query
+def punct_guard_split(spark: SparkSession, d: str) -> DataFrame:
+    """A tagger that detaches a comma keeps the words and is refused by their count."""
+    got = punctuate.guarded(models.tag_chunks(punctuate.chunks(fx.docs_words(spark, d)), models.splitting))
+    return got.groupBy("doc_id").agg(F.sum(F.col("refused").cast("long")).alias("refused"), F.count(F.lit(1)).alias("chunks"))
+
+
+@query
+def restore_text(spark: SparkSession, d: str) -> DataFrame:
+    return punctuate.restore(fx.docs_words(spark, d), models.identity)
+
+
+@query
+def positional_zip(spark: SparkSession, d: str) -> DataFrame:
+    """Upper-cased words by position; every fourth recording lost a word and keeps its own."""
+    w = fx.words(spark, d).select("rec_id", "idx", "w")
+    toks = F.transform(F.array_sort(F.collect_list(F.struct("idx", "w"))), lambda x: F.upper(x["w"]))
+    tagged = w.where("rec_id % 4 <> 1 or idx <> 0").groupBy("rec_id").agg(toks.alias("toks"))
+    return words.zip_if_equal(w, tagged)
+
+
+@query
+def sentence_cased(spark: SparkSession, d: str) -> DataFrame:
+    doc = fx.table(spark, d, "documents")
+    return doc.select("doc_id", sentence_case(F.lower(collapse(F.col("text")))).alias("text"))
+
+
+@query
+def word_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Scalar functions over every distinct word."""
+    w = fx.words(spark, d).select("w").distinct()
+    return w.select("w", agreement_key(F.col("w")).alias("key"), ends_sentence(F.col("w")).alias("ends"), F.char_length("w").cast("long").alias("n"))
+
+
+@query
+def time_functions(spark: SparkSession, d: str) -> DataFrame:
+    w = fx.words(spark, d)
+    budget = token_budget((F.col("end_ms") - F.col("start_ms")) / 1000)
+    name = F.concat(F.lit("out/rec."), F.col("rec_id").cast("string"), F.lit("k.wav"))
+    return w.select("rec_id", "idx", stamp(F.col("start_ms")).alias("dot"), stamp(F.col("start_ms"), True).alias("comma"), minute_stamp(F.col("start_ms")).alias("minute"), budget.cast("long").alias("budget"), output_name(stem(name), "srt").alias("name"))
+
+
+@query
+def wrapped_turns(spark: SparkSession, d: str) -> DataFrame:
+    toks = F.slice(tokens(F.col("text")), 1, 14)
+    conv = fx.table(spark, d, "conversations")
+    return conv.select("conv_id", "turn", F.array_join(wrap_two(toks), "\n").alias("two"), nonempty_join(F.split("text", r"\.")).alias("parts"))
+
+
+@query
+def screen_text(spark: SparkSession, d: str) -> DataFrame:
+    conv = fx.table(spark, d, "conversations")
+    return conv.select("conv_id", "turn", F.array_join(screen_lines(tokens(F.col("text"))), "\n").alias("screen"))
+
+
+@query
+def common_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """Words on which a hypothesis and the next one, both cut to the first's start, agree."""
+    h = fx.hypotheses(fx.words(spark, d)).select("stream_id", "step", F.transform("hyp", lambda x: x["w"]).alias("ws"), F.get("hyp", F.lit(0))["start_ms"].alias("t0"))
+    by = Window.partitionBy("stream_id").orderBy("step")
+    got = h.select("stream_id", "step", "ws", "t0", F.lead("ws").over(by).alias("after"), F.lead("t0").over(by).alias("t1"))
+    return got.where("t0 = t1").select("stream_id", "step", agreement.common_prefix(F.col("ws"), F.col("after")).cast("long").alias("n"))
+
+
+@query
+def local_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.committed_log(fx.hypotheses(fx.words(spark, d))).select("stream_id", "seq", "w", "start_ms", "end_ms", "lag_ms", "forced")
+
+
+@query
+def commit_lag_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.lag_percentiles(agreement.committed_log(fx.hypotheses(fx.words(spark, d))))
+
+
+@query
+def stream_captions(spark: SparkSession, d: str) -> DataFrame:
+    """The captions stream over the same hypotheses, run until nothing is left; its log must be the batch form's."""
+    from ..streaming import captions
+
+    captions.use_rocksdb(spark)
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="captions-")
+    key = spark.range(1).select(F.expr("uuid()")).first()[0]
+    folder = f"{base}/captions-{key}"
+    # One file per micro-batch, steps dealt at random over files: order is the operator's business.
+    h = fx.hypotheses(fx.words(spark, d)).withColumn("part", F.pmod(F.xxhash64("stream_id", "step"), F.lit(3)))
+    h.repartitionByRange(3, "part").drop("part").select("stream_id", "step", "clock_ms", "silent", "last", "hyp").write.parquet(f"{folder}/in")
+    out = captions.captions(captions.replay(spark, f"{folder}/in"), window_ms=None)
+    name = "captions_" + key.replace("-", "_")
+    got = captions.run_available(out, name, f"{folder}/checkpoint")
+    return got.where("kind = 'stable'").select("stream_id", "seq", "w", "start_ms", "end_ms", "lag_ms", "forced")
