@@ -110,10 +110,12 @@ def sample_mix(docs: DataFrame, ws: Workspace, weights: tuple[float, ...] = (1,
     held = ws.save(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
     targets = ws.save(source_targets(held.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs, share), "targets")
     plan = ws.save(cut_buckets(held, targets), "plan")
-    rows = docs.withColumn("_bucket", F.pmod(key, F.lit(BUCKETS)).cast("int")).join(plan, F.col("source").cast("string").eqNullSafe(F.col("p_source")))
+    # One struct under an unlikely name: whatever else the documents' columns are called stays apart.
+    plan = plan.select(F.col("p_source").alias("_mix_source"), F.struct("whole", "cut", "part").alias("_mix"))
+    rows = docs.withColumn("_mix_bucket", F.pmod(key, F.lit(BUCKETS)).cast("int")).join(plan, F.col("source").cast("string").eqNullSafe(F.col("_mix_source")))
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed + 1)), F.lit(1 << 20)) / float(1 << 20)
-    more = (F.col("_bucket") < F.col("cut")) | ((F.col("_bucket") == F.col("cut")) & (chance < F.col("part")))
-    copies = (F.col("whole") + F.when(more, 1).otherwise(0)).cast("int")
-    rows = rows.withColumn("_copies", copies).where("_copies > 0")
+    more = (F.col("_mix_bucket") < F.col("_mix.cut")) | ((F.col("_mix_bucket") == F.col("_mix.cut")) & (chance < F.col("_mix.part")))
+    copies = (F.col("_mix.whole") + F.when(more, 1).otherwise(0)).cast("int")
+    rows = rows.withColumn("_mix_copies", copies).where("_mix_copies > 0")
     # Explode last and carry nothing of the plan along.
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
