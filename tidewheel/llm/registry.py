@@ -57,6 +57,26 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_vectors, op3_exact, op4_mixing, op5_urls, op6_packing, op7_sharding, op8_licenses, op9_language, op10_html)}
 
 ORACLES = {
+    "op2_vectors": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        l AS (
+            SELECT a.vec_id AS x, b.vec_id AS y
+            FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+        ),
+        r AS (
+            SELECT vec_id AS x, vec_id AS y FROM embeddings
+            UNION
+            SELECT r.x, l.y FROM r JOIN l ON l.x = r.y
+        ),
+        n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+        SELECT r.x AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.y) AS component_id, min(r.y) = r.x AS kept
+        FROM r LEFT JOIN n ON n.x = r.x GROUP BY r.x
+    """,
     "op3_exact": r"""
         WITH d AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t
