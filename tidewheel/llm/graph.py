@@ -43,9 +43,11 @@ def connected_components(edges: DataFrame, ws: Workspace, seed: int = 11) -> Dat
         live = nxt
     if not maps:
         return ws.save(live.select(F.col("a").alias("id"), F.col("b").alias("component")), "components")
-    root = maps[-1]
-    for step in reversed(maps[:-1]):
-        far = root.select(F.col("id").alias("to"), F.col("to").alias("root"))
-        root = ws.save(step.join(far, "to", "left").select("id", F.coalesce("root", "to").alias("to")), "roots")
+    # One chain of joins follows every node through all rounds; each join has its own exchanges.
+    root = maps[0]
+    for k, step in enumerate(maps[1:]):
+        far = step.select(F.col("id").alias("to"), F.col("to").alias(f"to{k}"))
+        root = root.join(far, "to", "left").select("id", F.coalesce(f"to{k}", "to").alias("to"))
+    root = ws.save(root, "roots")
     least = ws.save(root.groupBy("to").agg(F.min("id").alias("component")), "least")
     return ws.save(root.join(least, "to").select("id", "component"), "components")

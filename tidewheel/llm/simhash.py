@@ -243,7 +243,7 @@ def fingerprint_components(fps: DataFrame, ws: Workspace, tau: int = 2, bucket:
     comp = connected_components(links(named, ws, tau, bucket=bucket), ws)
     tied = ws.save(named.join(comp.select(F.col("id").alias("rep"), "component"), "rep").select("fp", "component"), "tied")
     least = ws.save(tied.join(known, "fp").groupBy("component").agg(F.min("rep").alias("component_id")), "least")
-    linked = ws.save(tied.join(least, "component").select("fp", F.col("component_id").alias("far")), "linked")
+    linked = tied.join(least, "component").select("fp", F.col("component_id").alias("far"))
     return ws.save(groups.join(linked, "fp", "left").select("fp", F.coalesce("far", "rep").alias("component_id")), "ids")
 
 
@@ -356,7 +356,7 @@ def similar_links(docs: DataFrame, keyed: DataFrame, ws: Workspace, width: int,
     counts = ws.save(counts.select("key", F.least(blocks, F.col("n").cast("int")).alias("blocks")), "key_counts")
     each = each.select("doc_id", "key")
     shared = ws.save(each.join(counts, "key"), "shared")
-    members = ws.save(shared.select("doc_id").distinct(), "members")
+    members = shared.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw")).join(members.hint("merge"), "doc_id")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,5 +407,5 @@ def drop_near_duplicates(docs: DataFrame, ws: Workspace, width: int = 5, least:
     The smallest doc_id of a component stays; rows without doc_id all stay.
     """
     found = similar_documents(docs, ws, width, least, tau, seed)
-    gone = ws.save(found.where("doc_id <> component_id").select("doc_id"), "gone")
+    gone = found.where("doc_id <> component_id").select("doc_id")
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
