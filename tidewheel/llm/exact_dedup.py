@@ -126,10 +126,9 @@ def exact_duplicates(docs: DataFrame, ws: Workspace, modulus: int = MODULUS, spl
         pairs = todo.where("doc_id <> keep_id or text_sha256 <> first_sha").select("doc_id", "text_sha256", "keep_id", "first_sha").distinct()
         firsts = texts.join(todo.select(F.col("keep_id").alias("doc_id"), F.col("first_sha").alias("text_sha256")).distinct(), ["doc_id", "text_sha256"])
         firsts = ws.save(firsts.dropDuplicates(["doc_id", "text_sha256"]).select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("first_sha"), F.col("raw").alias("first_raw")), "firsts")
-        named = ws.save(texts.join(pairs, ["doc_id", "text_sha256"]), "named")
-        held = named.join(firsts, ["keep_id", "first_sha"]).select("doc_id", "text_sha256", "raw", "first_raw")
+        held = texts.join(pairs, ["doc_id", "text_sha256"]).join(firsts, ["keep_id", "first_sha"]).select("doc_id", "text_sha256", "raw", "first_raw")
         same = ws.save(held.mapInArrow(_compare, "doc_id long, text_sha256 string, same boolean"), "compared")
-        ws.drop(named, firsts)
+        ws.drop(firsts)
         wrong = same.where("not same").select("doc_id", "text_sha256").distinct()
         if not wrong.limit(1).count():
             settled.append(todo)
@@ -177,7 +176,7 @@ def drop_exact_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     Rows without doc_id all stay.  Of a repeated row one copy stays.
     """
     found = exact_duplicates(docs, ws)
-    gone = ws.save(found.where("doc_id is not null and doc_id <> keep_id").select("doc_id", "text_sha256").distinct(), "gone")
+    gone = found.where("doc_id is not null and doc_id <> keep_id").select("doc_id", "text_sha256").distinct()
     norm = F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE, " "), 256)
     marked = docs.withColumn("_sha", norm)
     rest = marked.join(gone.select(F.col("doc_id"), F.col("text_sha256").alias("_sha")).hint("merge"), ["doc_id", "_sha"], "left_anti")
