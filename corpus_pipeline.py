@@ -14,7 +14,7 @@ from tidewheel.llm.store import Workspace
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter go; doubt about the language is no reason to lose one."""
+    """Documents go that have no letter, or whose language the network can't tell although there are letters enough."""
     return langid.keep_identified(docs)
 
 

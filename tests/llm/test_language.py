@@ -1,6 +1,5 @@
 import random
 
-import pytest
 from llm_cases import TEXTS, documents, empty
 
 from tidewheel.llm import langid
@@ -55,9 +54,31 @@ def test_edges(spark):
     assert {r["lang_pred"] for r in langid.identify(bare).collect()} == {"und"}
 
 
-@pytest.mark.parametrize("least", [0.0, 0.5])
-def test_rejects_only_what_has_no_letters(spark, least):
+def test_rejects_what_has_no_letters(spark):
     df = documents(spark)
-    got = langid.keep_identified(df, least)
+    got = langid.keep_identified(df)
     assert got.columns == df.columns
     assert sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 1, 1, 2, 6, 7, 8, 9, 11]
+    assert langid.keep_identified(empty(spark)).count() == 0
+
+
+def test_doubt_rejects_where_letters_are_enough(spark):
+    df = corpus(spark)
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    letters = {i: sum(map(str.isalpha, t)) for i, t in texts.items()}
+    net = langid.train(*langid.sample_windows(df))
+    sure = {}
+    for i, t in texts.items():
+        each = [(len(w), langid.predict(net, [w])[1][0]) for w in langid.windows(t.encode())]
+        sure[i] = sum(n * p for n, p in each) / sum(n for n, _ in each)
+    least = sorted(v for i, v in sure.items() if letters[i] >= 30)[40] + 1e-6
+    kept = {r["doc_id"] for r in langid.keep_identified(df, least, 30).collect()}
+    assert kept == {i for i in texts if letters[i] < 30 or sure[i] >= least}
+    assert 0 < len(kept) < len(texts) and any(n < 30 for n in letters.values())
+
+
+def test_mixed_languages_stay():
+    parts, labels = [b"aaaa bbbb " * 50, b"cccc dddd " * 50] * 20, ["x", "y"] * 20
+    net = langid.train(parts, labels, epochs=60)
+    both = parts[0].ljust(langid.WINDOW) + parts[1].ljust(langid.WINDOW)
+    assert langid.predict(net, [both])[1][0] < 0.7 and langid.judge(net, [both])[1][0] > 0.9

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ WIDTHS, FILTERS, EMBED = (2, 3, 4), 12, 8
 PER_LANG, MOST, PER_DOC = 3000, 24000, 4
 #: Windows computed at once.
 AT_ONCE = 256
+#: A text is rejected if its windows find no language with that probability, unless it has too few letters to tell.
+LEAST, ENOUGH = 0.4, 100
 UNKNOWN = "und"
 
 
@@ -115,20 +118,28 @@ def train(parts: list[bytes], labels: list[str], epochs: int = 10, batch: int =
     return net
 
 
-def predict(net: Network, texts: list[bytes]) -> tuple[list[str], list[float]]:
-    """Language and mean probability of every text; windows of many texts are computed together."""
+def judge(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of every text the mean log-probabilities of its windows, and how sure its windows are: the mean of their best probability."""
     parts, owner = [], []
     for i, raw in enumerate(texts):
         got = windows(raw)
         parts += got
         owner += [i] * len(got)
-    total, weight = np.zeros((len(texts), len(net.langs))), np.zeros(len(texts))
+    total, weight, sure = np.zeros((len(texts), len(net.langs))), np.zeros(len(texts)), np.zeros(len(texts))
+    # Windows of many texts are computed together.
     for at in range(0, len(parts), AT_ONCE):
         some, own = parts[at : at + AT_ONCE], owner[at : at + AT_ONCE]
         n = np.array([len(p) for p in some], np.float64)
-        np.add.at(total, own, forward(net, matrix(some)) * n[:, None])
+        log_p = forward(net, matrix(some))
+        np.add.at(total, own, log_p * n[:, None])
         np.add.at(weight, own, n)
-    mean = total / np.maximum(weight, 1)[:, None]
+        np.add.at(sure, own, np.exp(log_p.max(axis=1)) * n)
+    return total / np.maximum(weight, 1)[:, None], sure / np.maximum(weight, 1)
+
+
+def predict(net: Network, texts: list[bytes]) -> tuple[list[str], list[float]]:
+    """Language of every text and its mean probability."""
+    mean, _ = judge(net, texts)
     p = np.exp(mean - mean.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
     best = p.argmax(axis=1)
@@ -136,7 +147,12 @@ def predict(net: Network, texts: list[bytes]) -> tuple[list[str], list[float]]:
 
 
 def has_letter(text: str) -> bool:
-    return any(map(str.isalpha, text))
+    return has_letters(text, 1)
+
+
+def has_letters(text: str, n: int) -> bool:
+    """Whether a text has at least ``n`` letters; reads no further than the n-th."""
+    return n <= 0 or next(islice(filter(str.isalpha, text), n - 1, None), None) is not None
 
 
 def held_out(doc_id: Column) -> Column:
@@ -193,7 +209,7 @@ def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
         net = train(parts, labels) if parts else None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2).to_pylist()
             some = [i for i, t in enumerate(texts) if net is not None and t and has_letter(t)]
@@ -203,11 +219,19 @@ def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
                     langs[i], scores[i] = lang, score
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(judge, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(answer, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """``docs`` whose language can be told, with the columns of ``docs``: no letter and a score below ``least`` reject."""
+def keep_identified(docs: DataFrame, least: float = LEAST, enough: int = ENOUGH) -> DataFrame:
+    """``docs`` whose language can be told, with the columns of ``docs``.
+
+    A text without a letter (null and empty ones too) is rejected, and so is one
+    whose windows give their best language less than ``least`` on average: each
+    window counts by itself, so a text in several languages stays.  Fewer than
+    ``enough`` letters say too little: such a text stays.  Without labels to learn
+    from only texts without letters go.  Repeated rows fare alike; an empty table
+    gives an empty result.
+    """
     parts, labels = sample_windows(docs)
     net = train(parts, labels) if parts else None
     # The verdict travels with the row, so nothing is joined back.
@@ -217,10 +241,10 @@ def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
         for b in batches:
             texts = b.column("text").to_pylist()
             ok = [bool(t) and has_letter(t) for t in texts]
-            if net is not None and least > 0 and any(ok):
-                at = [i for i, o in enumerate(ok) if o]
-                for i, score in zip(at, predict(net, [texts[i].encode() for i in at])[1], strict=True):
-                    ok[i] = score >= least
+            at = [i for i, t in enumerate(texts) if ok[i] and net is not None and has_letters(t, enough)]
+            if at:
+                for i, sure in zip(at, judge(net, [texts[i].encode() for i in at])[1], strict=True):
+                    ok[i] = bool(sure >= least)
             yield b.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(keep, fields)
