@@ -152,3 +152,16 @@ def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame(list(zip(order, order[1:])) + [(5, 5), (None, 3), (900, 901)], "a long, b long")
     got = {r["id"]: r["component"] for r in connected_components(edges, Workspace(spark, "t")).collect()}
     assert {got[i] for i in range(300)} == {0} and got[901] == 900 and len(got) == 302
+
+
+@pytest.mark.parametrize("segment", [1, 7, 64])
+@pytest.mark.parametrize("width", [1, 3, 5])
+def test_segments_of_a_text_lose_no_shingle(monkeypatch, segment, width):
+    rng = random.Random(segment * 10 + width)
+    for n in (0, 1, 2, 4, 5, 6, 40, 300):
+        raw = "".join(rng.choice(["a", "Žodis", "word", ""]) + rng.choice([" ", "  ", "\t\n", "\u00a0 ", "\x1c "]) for _ in range(n)).encode()
+        words = raw.lower().split()
+        whole = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+        monkeypatch.setattr(s, "SEGMENT", segment)
+        got = [int(x) for block in s.shingle_hashes(raw, width) for x in block]
+        assert got == [xxhash.xxh64_intdigest(w, 42) for w in whole]

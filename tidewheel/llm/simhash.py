@@ -15,6 +15,7 @@ tied to the first of them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -30,22 +31,43 @@ from .store import Workspace
 BITS = 64
 #: Largest bucket whose pairs are made; larger ones go the linear way.
 BUCKET = 32
-#: Shingles hashed between two additions to the bit counts.
-BLOCK = 1 << 16
+#: Bytes of a text whose words are held at once.
+SEGMENT = 1 << 18
+#: White space that ends a word.
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def segments(raw: bytes) -> Iterator[bytes]:
+    """A text in pieces of about ``SEGMENT`` bytes that end after white space or at its end."""
+    at = 0
+    while at < len(raw):
+        gap = _GAP.search(raw, at + SEGMENT)
+        end = gap.end() if gap else len(raw)
+        yield raw[at:end]
+        at = end
 
 
 def shingle_hashes(raw: bytes, width: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
-    """XXH64 of every word shingle of a UTF-8 text in order, a block at a time; a shorter text is one shingle."""
-    words = raw.lower().split()
-    if not words:
-        return
-    buf, n = b" ".join(words), max(1, len(words) - width + 1)
-    gaps = np.flatnonzero(np.frombuffer(buf, np.uint8) == 32)
-    starts = np.concatenate(([0], gaps + 1))[:n].tolist()
-    ends = np.concatenate((gaps, [len(buf)]))[min(width, len(words)) - 1 :].tolist()
-    h = xxhash.xxh64_intdigest
-    for i in range(0, n, BLOCK):
-        yield np.array([h(buf[s:e], seed) for s, e in zip(starts[i : i + BLOCK], ends[i : i + BLOCK], strict=False)], np.uint64)
+    """XXH64 of every word shingle of a UTF-8 text in order, a segment at a time; a shorter text is one shingle.
+
+    Beside the text only one segment's words are held, however long the text is.
+    """
+    h, held, any_yet = xxhash.xxh64_intdigest, [], False
+    for part in segments(raw):
+        words = held + part.lower().split()
+        n = len(words) - width + 1
+        if n < 1:
+            held = words
+            continue
+        buf = b" ".join(words)
+        gaps = np.flatnonzero(np.frombuffer(buf, np.uint8) == 32)
+        starts = np.concatenate(([0], gaps + 1))[:n].tolist()
+        ends = np.concatenate((gaps, [len(buf)]))[width - 1 :].tolist()
+        yield np.array([h(buf[s:e], seed) for s, e in zip(starts, ends, strict=True)], np.uint64)
+        # The next segment's first shingles begin with these words.
+        held, any_yet = words[n:], True
+    if held and not any_yet:
+        yield np.array([h(b" ".join(held), seed)], np.uint64)
 
 
 def majority(blocks: Iterator[np.ndarray]) -> int:
