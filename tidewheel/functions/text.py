@@ -63,17 +63,18 @@ def ends_sentence(word: Column) -> Column:
     return F.coalesce(F.right(word, F.lit(1)).isin(".", "!", "?", "…"), F.lit(False))
 
 
-def joined_length(words: Column) -> Column:
-    """Characters of the words joined by single spaces."""
-    return F.aggregate(words, F.lit(0), lambda a, x: a + F.char_length(x)) + F.greatest(F.size(words) - 1, F.lit(0))
-
-
 def wrap_two(words: Column, width: int = 42) -> Column:
     """At most two lines: the longest start within ``width`` (one word at least), then all the rest."""
     n = F.size(words)
-    fits = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: (k == 1) | (joined_length(F.slice(words, F.lit(1), k)) <= width))
-    # Lengths grow with k, so the count of fitting starts is the longest of them.
-    k = F.size(fits)
+    start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("size"), F.lit(True).alias("open"))
+
+    def step(s: Column, w: Column) -> Column:
+        size = s["size"] + F.char_length(w) + F.when(s["k"] > 0, 1).otherwise(0)
+        fits = F.coalesce(s["open"] & ((s["k"] == 0) | (size <= width)), F.lit(False))
+        return F.struct((s["k"] + fits.cast("int")).alias("k"), size.alias("size"), fits.alias("open"))
+
+    # One pass with a running length; the first word that doesn't fit closes the line.
+    k = F.aggregate(words, start, step)["k"]
     one = F.array(F.array_join(words, " "))
     two = F.array(F.array_join(F.slice(words, F.lit(1), k), " "), F.array_join(F.slice(words, k + 1, F.greatest(n - k, F.lit(0))), " "))
     return F.when(n == 0, F.array().cast("array<string>")).when(k >= n, one).otherwise(two)

@@ -268,9 +268,8 @@ def time_functions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def wrapped_turns(spark: SparkSession, d: str) -> DataFrame:
-    toks = F.slice(tokens(F.col("text")), 1, 14)
     conv = fx.table(spark, d, "conversations")
-    return conv.select("conv_id", "turn", F.array_join(wrap_two(toks), "\n").alias("two"), nonempty_join(F.split("text", r"\.")).alias("parts"))
+    return conv.select("conv_id", "turn", F.array_join(wrap_two(tokens(F.col("text"))), "\n").alias("two"), nonempty_join(F.split("text", r"\.")).alias("parts"))
 
 
 @query
