@@ -280,11 +280,15 @@ def screen_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def common_prefix(spark: SparkSession, d: str) -> DataFrame:
-    """Words on which a hypothesis and the next one, both cut to the first's start, agree."""
-    h = fx.hypotheses(fx.words(spark, d)).select("stream_id", "step", F.transform("hyp", lambda x: x["w"]).alias("ws"), F.get("hyp", F.lit(0))["start_ms"].alias("t0"))
+    """Words on which a hypothesis and the next one, both cut to the later start, agree; a row for every pair, 0 beside a silent step."""
+    h = fx.hypotheses(fx.words(spark, d)).select("stream_id", "step", F.transform("hyp", lambda x: x["w"]).alias("ws"), F.transform("hyp", lambda x: x["start_ms"]).alias("at"))
     by = Window.partitionBy("stream_id").orderBy("step")
-    got = h.select("stream_id", "step", "ws", "t0", F.lead("ws").over(by).alias("after"), F.lead("t0").over(by).alias("t1"))
-    return got.where("t0 = t1").select("stream_id", "step", agreement.common_prefix(F.col("ws"), F.col("after")).cast("long").alias("n"))
+    got = h.select("stream_id", "step", "ws", "at", F.lead("ws").over(by).alias("after"), F.lead("at").over(by).alias("after_at")).where("after is not null")
+    got = got.withColumn("t", F.greatest(F.get("at", F.lit(0)), F.get("after_at", F.lit(0))))
+    # Starts ascend, so the words to drop are the first ones.
+    rest = lambda ws, at: F.slice(ws, F.size(F.filter(at, lambda x: x < F.col("t"))) + 1, F.greatest(F.size(ws), F.lit(1)))
+    got = got.select("stream_id", "step", rest("ws", F.col("at")).alias("a"), rest("after", F.col("after_at")).alias("b"))
+    return got.select("stream_id", "step", agreement.common_prefix(F.col("a"), F.col("b")).cast("long").alias("n"))
 
 
 @query
