@@ -54,3 +54,17 @@ def test_a_hot_group_is_counted_whole(spark):
     df = spark.createDataFrame([(i, [float(a) for a in r], 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
     got = v.near_duplicates(df, Workspace(spark, "t"), block=64).collect()
     assert {r["n_links"] for r in got} == {699} and {r["component_id"] for r in got} == {0}
+
+
+def test_no_link_is_lost_across_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(v, "PER_LIST", 10)
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(3200, 4)) @ rng.normal(size=(4, 64))).astype(np.float32).astype(np.float64)
+    ids = rng.permutation(len(x))
+    assert len(v.train(x / np.linalg.norm(x, axis=1)[:, None], len(x)).centroids) == 200
+    df = spark.createDataFrame([(int(i), [float(a) for a in r], 0) for i, r in zip(ids, x)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in v.near_duplicates(df, Workspace(spark, "t")).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = dict(zip(ids.tolist(), ((u @ u.T >= 0.93).sum(1) - 1).tolist(), strict=True))
+    print("links", sum(got.values()), "of", sum(want.values()))
+    assert got == want

@@ -1,7 +1,8 @@
 """Embedding near-deduplication by product quantisation.
 
 Coarse inverted lists hold each vector's residual as subspace codes.  A query
-probes every list whose border lies within a margin of it, ranks a list's members
+probes every list whose border lies within half the link radius of it, so of the two
+ends of a link in different lists one at least finds the other; it ranks a list's members
 by table-lookup inner products, keeps those whose distance to their own code
 leaves the threshold possible, and verifies the rest by exact cosine in double
 precision.  Equal vectors are one class with a count throughout; lists and
@@ -27,8 +28,6 @@ PER_LIST = 4096
 LISTS, SAMPLE = 1024, 16384
 #: Rows of a block of queries or of list members.
 BLOCK = 256
-#: Standard deviations of a neighbour's random offset, across one border, that probing covers.
-SIGMAS = 4.0
 
 
 @dataclass
@@ -79,8 +78,8 @@ def encode(ix: Index, u: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndar
     # Distance to the border between the home list and every other one.
     gap = np.sqrt(np.maximum(((c[home][:, None, :] - c[None, :, :]) ** 2).sum(2), 1e-18))
     border = (d2 - d2[np.arange(len(u)), home][:, None]) / (2 * gap)
-    reach = radius * min(1.0, SIGMAS / np.sqrt(u.shape[1]))
-    probe = border <= reach
+    # The two ends of a link lie on either side of their border, so one of them is within half the radius of it.
+    probe = border <= radius / 2 + 1e-6
     probe[np.arange(len(u)), home] = True
     return home, codes, np.sqrt(err), [np.flatnonzero(p).tolist() for p in probe]
 
@@ -97,13 +96,18 @@ def _unpack(rows: list[bytes], dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def block_links(ix: Index, cell: int, q: np.ndarray, q_id: np.ndarray, q_n: np.ndarray, v: np.ndarray, v_id: np.ndarray, v_n: np.ndarray, codes: np.ndarray, err: np.ndarray, least: float) -> list[tuple[int, int | None, int]]:
+def block_links(ix: Index, cell: int, q: np.ndarray, q_id: np.ndarray, q_n: np.ndarray, q_home: np.ndarray, v: np.ndarray, v_id: np.ndarray, v_n: np.ndarray, v_probes: list[list[int]], codes: np.ndarray, err: np.ndarray, least: float) -> list[tuple[int, int | None, int]]:
     """Links between a block of queries and one of list members: (id, null, weight) counts and (id, root, 0) forest edges."""
     guess = np.repeat((q @ ix.centroids[cell])[:, None], len(v), axis=1)
     for m, (a, b) in enumerate(ix.cuts):
         guess += (q[:, a:b] @ ix.books[m].T)[:, codes[:, m]]
     # The coded vector is within ``err`` of the true one, so nothing over the threshold is lost here.
-    can = (guess + err[None, :] >= least - 1e-6) & (q_id[:, None] < v_id[None, :])
+    can = guess + err[None, :] >= least - 1e-6
+    # A pair that both ends find counts where the lower id asks.
+    asked = np.zeros((len(v), len(ix.centroids)), bool)
+    for k, p in enumerate(v_probes):
+        asked[k, p] = True
+    can &= (q_id[:, None] < v_id[None, :]) | ((q_home != cell)[:, None] & ~asked[:, q_home].T)
     if not can.any():
         return []
     if can.mean() > 0.1:
@@ -171,9 +175,9 @@ def near_duplicates(vectors: DataFrame, ws: Workspace, least: float = 0.93, bloc
     own = F.xxhash64("rep", "cell")
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     held = ["rep", "cnt", *at, "raw"]
-    members = placed.join(sizes, at).select(*held, "codes", "err", F.pmod(own, "vb").cast("int").alias("v"), spread(F.col("qb")).alias("q"), F.lit(False).alias("asks"))
-    queries = placed.withColumn("cell", F.explode("probes")).join(sizes, at)
-    queries = queries.select(*held, F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("err"), spread(F.col("vb")).alias("v"), F.pmod(own, "qb").cast("int").alias("q"), F.lit(True).alias("asks"))
+    members = placed.join(sizes, at).select(*held, F.lit(None).cast("int").alias("home"), "probes", "codes", "err", F.pmod(own, "vb").cast("int").alias("v"), spread(F.col("qb")).alias("q"), F.lit(False).alias("asks"))
+    queries = placed.withColumns({"home": F.col("cell"), "cell": F.explode("probes")}).join(sizes, at)
+    queries = queries.select(*held, "home", F.lit(None).cast("array<int>").alias("probes"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("err"), spread(F.col("vb")).alias("v"), F.pmod(own, "qb").cast("int").alias("q"), F.lit(True).alias("asks"))
 
     def meet(table: pa.Table) -> pa.Table:
         who = table.column("asks").to_numpy(zero_copy_only=False)
@@ -183,7 +187,7 @@ def near_duplicates(vectors: DataFrame, ws: Workspace, least: float = 0.93, bloc
             dim, cell = table.column("dim")[0].as_py(), table.column("cell")[0].as_py()
             ids = lambda t: (_unpack(t.column("raw").to_pylist(), dim), t.column("rep").to_numpy(), t.column("cnt").to_numpy())
             codes = np.stack([np.frombuffer(c, np.uint8) for c in v.column("codes").to_pylist()])
-            out = block_links(index[dim], cell, *ids(q), *ids(v), codes, v.column("err").to_numpy(), least)
+            out = block_links(index[dim], cell, *ids(q), q.column("home").to_numpy(), *ids(v), v.column("probes").to_pylist(), codes, v.column("err").to_numpy(), least)
         cols = list(zip(*out, strict=True)) or [[], [], []]
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "n"])
 
