@@ -82,3 +82,10 @@ def test_mixed_languages_stay():
     net = langid.train(parts, labels, epochs=60)
     both = parts[0].ljust(langid.WINDOW) + parts[1].ljust(langid.WINDOW)
     assert langid.predict(net, [both])[1][0] < 0.7 and langid.judge(net, [both])[1][0] > 0.9
+
+
+def test_the_bound_falls_on_all_languages_alike(spark):
+    langs = ["rare"] * 60 + [f"l{i % 7}" for i in range(2100)]
+    df = spark.createDataFrame([(i, f"{x} word " * 400, x) for i, x in enumerate(langs)], "doc_id long, text string, lang string")
+    _, labels = langid.sample_windows(df, 300, 600)
+    assert {x: labels.count(x) for x in set(langs)} == dict.fromkeys(set(langs), 75)

@@ -13,7 +13,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Bytes of a window, and of the step from one filter position to the next.
 WINDOW, STRIDE = 512, 2
@@ -178,20 +178,19 @@ def sample_windows(docs: DataFrame, per_lang: int = PER_LANG, most: int = MOST)
             for i, lang, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 got = windows(raw)
                 for k in range(min(PER_DOC, len(got))):
-                    ids.append(i)
-                    langs.append(lang)
-                    parts.append(got[k * len(got) // min(PER_DOC, len(got))])
+                    part = got[k * len(got) // min(PER_DOC, len(got))]
+                    if has_letter(part.decode("utf-8", "ignore")):
+                        ids.append(i)
+                        langs.append(lang)
+                        parts.append(part)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(parts, pa.binary())], ["h", "lang", "part"])
 
     found = rows.where(h < chance * (1 << 30)).select(h.alias("h"), "lang", F.col("text").cast("binary").alias("raw")).mapInArrow(cut, "h long, lang string, part binary")
-    got = [(r["h"], r["lang"], bytes(r["part"])) for r in found.orderBy("h", "lang", "part").limit(most).collect()]
-    parts, labels, n = [], [], dict.fromkeys(counts, 0)
-    for _, lang, part in got:
-        if n[lang] < per_lang and has_letter(part.decode("utf-8", "ignore")):
-            n[lang] += 1
-            parts.append(part)
-            labels.append(lang)
-    return parts, labels
+    # Each language is cut by itself: hashes of frequent ones are small, so one common cut would take the rare ones.
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))
+    kept = found.withColumn("nth", nth).where(F.col("nth") <= min(per_lang, most // len(counts)))
+    got = kept.orderBy("h", "lang", "part").select("part", "lang").collect()
+    return [bytes(r["part"]) for r in got], [r["lang"] for r in got]
 
 
 def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
