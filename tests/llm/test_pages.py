@@ -139,3 +139,12 @@ def test_licences_and_inheritance(spark):
     passages = [gpl, mit, gpl, "we licensed a song to the radio yesterday", mit, mit]
     assert by["lib/x/own.py"]["score"] == pytest.approx(cosine(gpl, licenses.TEMPLATES, passages), abs=1e-6)
     assert licenses.scan(df.limit(0), Workspace(spark, "t")).count() == 0
+
+
+def test_sibling_containers_without_article_all_stay(spark):
+    page = "<html><head><title>t</title></head><body><h1>Title {0}</h1><div class=lead>Lead {0} {1}</div><div class=box>Same box</div><div class=text><p>Body {0} {2}</p><p>More {0} {2}</p></div></body></html>"
+    html = [page.format(w, f"{w} " * 8, f"{w} " * 20) for w in ("alpha", "beta", "gamma", "delta")]
+    df = spark.createDataFrame([(i, f"https://x.example/{i}", p) for i, p in enumerate(html)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in h.main_text(df, Workspace(spark, "t")).collect()}
+    for i, w in enumerate(("alpha", "beta", "gamma", "delta")):
+        assert got[i] == " ".join(f"Title {w} Lead {w} {f'{w} ' * 8}Body {w} {f'{w} ' * 20}More {w} {f'{w} ' * 20}".split())

@@ -250,10 +250,10 @@ def induce(pages: list[str]) -> dict:
     for way in mass:
         if way:
             below[way[:-1]].append(way)
-    # Go down while one child holds most of what varies, but not into a single text block.
+    # Go down while one child holds all that varies, but not into a single text block.
     while below[slot]:
         best = max(below[slot], key=lambda w: (mass[w], w))
-        if mass[best] < 0.6 * mass[slot] or best[-1].split(".")[0] in TEXT_BLOCKS:
+        if mass[best] < mass[slot] or best[-1].split(".")[0] in TEXT_BLOCKS:
             break
         slot = best
         if slot[-1].split(".")[0] in ("article", "main"):
