@@ -148,3 +148,95 @@ def test_sibling_containers_without_article_all_stay(spark):
     got = {r["page_id"]: r["text"] for r in h.main_text(df, Workspace(spark, "t")).collect()}
     for i, w in enumerate(("alpha", "beta", "gamma", "delta")):
         assert got[i] == " ".join(f"Title {w} Lead {w} {f'{w} ' * 8}Body {w} {f'{w} ' * 20}More {w} {f'{w} ' * 20}".split())
+
+
+# What names can't tell, the template does.
+PLAIN = "<html><head><title>t</title></head><body><div class=qa><ul><li><a href='/{0}'>Menu {0}</a><li><a href='/'>Home</a></ul></div><div class=qb>Site name</div><div class=qc>buy {0}</div><div class=qd><h1>Title {0}</h1>{1}<div class=qe><span>Same box</span></div></div><div class=qf>(c) of {0}</div></body></html>"
+
+
+def plain(w, n):
+    return PLAIN.format(w, "".join(f"<p>{w} says {i} things</p>" for i in range(n)))
+
+
+@pytest.mark.parametrize("n", [20, 1600])
+def test_the_template_decides_where_names_say_nothing(spark, n):
+    rows = [(i, f"http://plain.org/{i}", plain(w, n)) for i, w in enumerate(("alpha", "beta", "gamma", "delta"))]
+    got = {r["page_id"]: r["text"] for r in h.main_text(pages(spark, rows), Workspace(spark, "t")).collect()}
+    for i, w in enumerate(("alpha", "beta", "gamma", "delta")):
+        assert got[i] == f"Title {w} " + " ".join(f"{w} says {k} things" for k in range(n))
+        assert h.extract(rows[i][2]) != got[i] and "Same box" in h.extract(rows[i][2])
+
+
+def test_every_layout_of_a_host_has_its_template(spark):
+    other = "<html><body><section class=za>Another head</section><section class=zb><h2>{0}</h2><p>{0} body of the other kind, and more of {0}</section></body></html>"
+    rows = [(i, f"http://two.org/{i}", plain(f"w{i}", 30)) for i in range(400)] + [(1000 + i, f"http://two.org/o{i}", other.format(f"word{i}")) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in h.main_text(pages(spark, rows), Workspace(spark, "t")).collect()}
+    assert [got[1000 + i] for i in range(3)] == [f"word{i} word{i} body of the other kind, and more of word{i}" for i in range(3)]
+    assert all(got[i].startswith(f"Title w{i} w{i} says 0") and "Same box" not in got[i] for i in range(400))
+
+
+@pytest.mark.parametrize("html, text", [
+    ('<div class="content no-sidebar"><p>Real article text here.</p></div>', "Real article text here."),
+    ('<article><div class="post-header"><h1>Title</h1></div><p>Body</article>', "Title Body"),
+    ('<article><header><h1>Title</h1></header><p>Body</article><footer>f', "Title Body"),
+    ('<a class="skip" href="#x">Skip to content</a><p>Te<span class="ad">Buy now</span>xt', "Text"),
+    ("<div>" * 130 + "<nav>MENU</nav><p>text</p>", "text"),
+    ("<div>" * 30_000 + "<aside>x</aside>deep" + "</div>" * 10, "deep"),
+    ("<p>a <a href=x>b</a> <span class='ad'>c<p>d", "a b d"),
+])
+def test_names_are_read_for_what_they_say(html, text):
+    assert h.extract(html) == text
+
+
+def test_deep_pages_align():
+    page = lambda w: "<div>" * 3000 + f"<p>text {w} and more {w}</p><div>Same</div>"
+    got = h.induce([page(w) for w in ("a1", "b2", "c3")])
+    assert h.extract(page("d4"), got) == "text d4 and more d4"
+
+
+def largest_mapping(a, b):
+    """Brute force: every order-keeping choice of pairs of children."""
+    if isinstance(a, str) or isinstance(b, str):
+        return (1.0 if a == b else 0.5) if isinstance(a, str) and isinstance(b, str) else 0.0
+    if a.key != b.key:
+        return 0.0
+
+    def best(xs, ys):
+        if not xs or not ys:
+            return 0.0
+        return max([best(xs[1:], ys)] + [largest_mapping(xs[0], y) + best(xs[1:], ys[j + 1 :]) for j, y in enumerate(ys)])
+
+    return 1 + best(a.children, b.children)
+
+
+def test_alignment_equals_brute_force():
+    import random
+
+    rng = random.Random(8)
+
+    def tree(depth):
+        node = h.Node(k := rng.choice("xy"), k)
+        node.children = [rng.choice("pq") if depth == 0 or rng.random() < 0.4 else tree(depth - 1) for _ in range(rng.randrange(4))]
+        return node
+
+    for _ in range(300):
+        a, b = tree(3), tree(3)
+        al = h.Aligner()
+        assert al.weight(a, b) == largest_mapping(a, b)
+        if a.key == b.key:
+            assert 1 + sum(al.weight(x, y) for x, y in al.pairs(a, b)) == al.weight(a, b)
+
+
+def test_whole_query_without_names_equals_the_article_itself(spark):
+    """Pages of the test tables with every telling name taken away: the texts must be those that the names give."""
+    import re
+    from collections import Counter
+
+    raw = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html").where("html is not null").collect()
+    host = lambda u: u.split("://")[1].split("/")[0].split("?")[0]
+    many = {k for k, n in Counter(host(r["url"]) for r in raw).items() if n >= 6}
+    bare = lambda s: re.sub(r"</(?:article|nav|footer)>", "</div>", re.sub(r"<(article|nav|footer)\b", lambda m: f"<div class=q{m[1][:2]}", s)).replace('class="ad"', 'class="zz"')
+    picked = [r for r in raw if host(r["url"]) in many][:800]
+    got = {r["page_id"]: r["text"] for r in h.main_text(pages(spark, [(r["page_id"], r["url"], bare(r["html"])) for r in picked]), Workspace(spark, "t")).collect()}
+    want = {r["page_id"]: h.extract(re.search(r"(?s)<article>.*</article>", r["html"])[0]) for r in picked if "</article>" in r["html"]}
+    assert len(want) > 700 and sum(got[i] == t for i, t in want.items()) >= 0.99 * len(want)
