@@ -1,19 +1,23 @@
 """Embedding near-deduplication by product quantisation.
 
-Coarse inverted lists hold each vector's residual as subspace codes.  A query
-probes every list whose border lies within half the link radius of it, so of the two
-ends of a link in different lists one at least finds the other; it ranks a list's members
-by table-lookup inner products, keeps those whose distance to their own code
-leaves the threshold possible, and verifies the rest by exact cosine in double
-precision.  Equal vectors are one class with a count throughout; lists and
-queries are dealt in blocks, and a block returns link counts and a spanning
-forest of its links, never the pairs.
+Coarse inverted lists hold each vector's residual as subspace codes.  A list is a
+cell of a product of small quantisers, so the number of lists grows with the
+table while the index stays small.  A query probes every list whose border lies
+within a width of it; the width is measured, on the links that a fixed number of
+vectors have among all rows.  A query ranks a list's members by table-lookup
+inner products, keeps those whose distance to their own code leaves the
+threshold possible, and verifies the rest by exact cosine in double precision.
+Equal vectors are one class with a count throughout.  A vector travels once to
+its own list and once to each list it probes; long lists are dealt in blocks,
+and a block returns link counts and a spanning forest of its links, never the
+pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -22,22 +26,47 @@ from pyspark.sql import DataFrame, functions as F
 from .graph import connected_components
 from .store import Workspace
 
-#: Classes per coarse list, on average over all labels.
-PER_LIST = 4096
-#: Most coarse lists, and rows of the training sample.
-LISTS, SAMPLE = 1024, 16384
-#: Rows of a block of queries or of list members.
-BLOCK = 256
+#: Classes per coarse list, on average over the largest label.
+PER_LIST = 2048
+#: Most centroids of one coarse quantiser; more lists take a product of several.
+CENTROIDS = 256
+#: Classes the index is trained on, classes whose links set the probe width, and lengths of vectors that have an index.
+SAMPLE, ASKED, LENGTHS = 16384, 512, 16
+#: The width is that of the widest link measured, times this; from fewer links than that nothing is concluded.
+SAFETY, EVIDENCE = 1.5, 1000
+#: List members and queries that one task compares, and rows of the matrices it does so by.
+MEMBERS, QUERIES, BLOCK = 4096, 8192, 512
 
 
 @dataclass
 class Index:
-    """Coarse centroids and residual codebooks for vectors of one dimension."""
+    """Coarse quantisers (start, end, centroids) of parts of a vector, whose product are the lists, and residual codebooks."""
 
-    centroids: np.ndarray
+    coarse: list[tuple[int, int, np.ndarray]]
     cuts: list[tuple[int, int]]
     books: list[np.ndarray]
 
+    @property
+    def lists(self) -> int:
+        return int(np.prod([len(c) for _, _, c in self.coarse]))
+
+    def split(self, cell: np.ndarray) -> list[np.ndarray]:
+        """Centroid of each part in a list's number."""
+        out = []
+        for _, _, c in self.coarse:
+            cell, part = np.divmod(cell, len(c))
+            out.append(part)
+        return out
+
+    def join(self, parts: list) -> np.ndarray:
+        cell = 0
+        for (_, _, c), part in zip(reversed(self.coarse), reversed(parts), strict=True):
+            cell = cell * len(c) + part
+        return cell
+
+    def centre(self, cell: np.ndarray) -> np.ndarray:
+        return np.concatenate([c[part] for (_, _, c), part in zip(self.coarse, self.split(np.asarray(cell)), strict=True)], axis=-1)
+
 
 def lloyd(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
     """k-means centroids; empty ones keep their place."""
@@ -53,35 +82,67 @@ def lloyd(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
 
 
 def train(sample: np.ndarray, n: int) -> Index:
-    """An index from a bounded sample of unit vectors out of ``n``."""
-    k = int(max(1, min(LISTS, round(n / PER_LIST), len(sample) // 16 or 1)))
-    centroids = lloyd(sample, k)
-    near = np.argmin((centroids * centroids).sum(1) - 2 * sample @ centroids.T, axis=1)
-    rest, d = sample - centroids[near], sample.shape[1]
+    """An index from a bounded sample of unit vectors; ``n`` is the largest number that share the lists."""
+    d, cells = sample.shape[1], max(1.0, n / PER_LIST)
+    parts = min(d, max(1, int(np.ceil(np.log(cells) / np.log(CENTROIDS) - 1e-9))))
+    k = int(max(1, min(round(cells ** (1 / parts)), len(sample) // 16 or 1)))
+    bounds = np.linspace(0, d, parts + 1).round().astype(int)
+    coarse = [(int(a), int(b), lloyd(sample[:, a:b], k)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    ix = Index(coarse, [], [])
+    rest = sample - ix.centre(homes(ix, sample)[0])
     edges = np.linspace(0, d, (d + 3) // 4 + 1).round().astype(int)
-    cuts = [(int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
-    books = [lloyd(rest[:, a:b], min(64, len(rest)), 6) for a, b in cuts]
-    return Index(centroids, cuts, books)
+    ix.cuts = [(int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+    ix.books = [lloyd(rest[:, a:b], min(64, len(rest)), 6) for a, b in ix.cuts]
+    return ix
+
+
+def whole(d: int) -> Index:
+    """An index of one list that knows nothing: every member stays possible and is verified."""
+    return Index([(0, d, np.zeros((1, d)))], [], [])
 
 
-def encode(ix: Index, u: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
+def homes(ix: Index, u: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Home list of unit vectors, and in each part the distance to the border of every centroid's cell."""
+    own, borders = [], []
+    for a, b, c in ix.coarse:
+        d2 = (c * c).sum(1) - 2 * u[:, a:b] @ c.T
+        home = np.argmin(d2, axis=1)
+        gap = np.sqrt(np.maximum((c * c).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * c @ c.T, 1e-18))[home]
+        border = (d2 - d2[np.arange(len(u)), home][:, None]) / (2 * gap)
+        border[np.arange(len(u)), home] = 0.0
+        own.append(home)
+        borders.append(border)
+    return ix.join(own), borders
+
+
+def encode(ix: Index, u: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
     """Home list, codes, distance to the coded vector and lists to probe of unit vectors."""
-    c = ix.centroids
-    d2 = (c * c).sum(1) - 2 * u @ c.T
-    home = np.argmin(d2, axis=1)
-    rest = u - c[home]
-    codes, err = np.empty((len(u), len(ix.cuts)), np.uint8), np.zeros(len(u))
+    home, borders = homes(ix, u)
+    rest = u - ix.centre(home)
+    codes, err = np.zeros((len(u), max(1, len(ix.cuts))), np.uint8), np.zeros(len(u))
     for m, (a, b) in enumerate(ix.cuts):
         book, part = ix.books[m], rest[:, a:b]
         codes[:, m] = np.argmin((book * book).sum(1) - 2 * part @ book.T, axis=1)
         err += ((part - book[codes[:, m]]) ** 2).sum(1)
-    # Distance to the border between the home list and every other one.
-    gap = np.sqrt(np.maximum(((c[home][:, None, :] - c[None, :, :]) ** 2).sum(2), 1e-18))
-    border = (d2 - d2[np.arange(len(u)), home][:, None]) / (2 * gap)
-    # The two ends of a link lie on either side of their border, so one of them is within half the radius of it.
-    probe = border <= radius / 2 + 1e-6
-    probe[np.arange(len(u)), home] = True
-    return home, codes, np.sqrt(err), [np.flatnonzero(p).tolist() for p in probe]
+    if not ix.cuts:
+        err += 4.0
+    near = [[np.flatnonzero(row) for row in border <= width + 1e-9] for border in borders]
+    probes = [sorted(int(ix.join(list(p))) for p in product(*row)) for row in zip(*near, strict=True)]
+    return home, codes, np.sqrt(err), probes
+
+
+def lossless(ix: Index, radius: float) -> float:
+    """A width that no link is beyond: its ends lie on either side of a border, so one is within half its length; with several borders within all of it."""
+    return radius / 2 if len(ix.coarse) == 1 else radius
+
+
+def reach(ix: Index, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of unit vectors the least width at which one end probes the other's list."""
+    (ha, da), (hb, db) = homes(ix, a), homes(ix, b)
+    row = np.arange(len(a))
+    there = [d[row, part] for d, part in zip(da, ix.split(hb), strict=True)]
+    back = [d[row, part] for d, part in zip(db, ix.split(ha), strict=True)]
+    return np.minimum(np.max(there, axis=0), np.max(back, axis=0))
 
 
 def _pack(x: np.ndarray) -> list[bytes]:
@@ -98,16 +159,19 @@ def _unpack(rows: list[bytes], dim: int) -> np.ndarray:
 
 def block_links(ix: Index, cell: int, q: np.ndarray, q_id: np.ndarray, q_n: np.ndarray, q_home: np.ndarray, v: np.ndarray, v_id: np.ndarray, v_n: np.ndarray, v_probes: list[list[int]], codes: np.ndarray, err: np.ndarray, least: float) -> list[tuple[int, int | None, int]]:
     """Links between a block of queries and one of list members: (id, null, weight) counts and (id, root, 0) forest edges."""
-    guess = np.repeat((q @ ix.centroids[cell])[:, None], len(v), axis=1)
+    guess = np.repeat((q @ ix.centre(cell))[:, None], len(v), axis=1)
     for m, (a, b) in enumerate(ix.cuts):
         guess += (q[:, a:b] @ ix.books[m].T)[:, codes[:, m]]
     # The coded vector is within ``err`` of the true one, so nothing over the threshold is lost here.
     can = guess + err[None, :] >= least - 1e-6
     # A pair that both ends find counts where the lower id asks.
-    asked = np.zeros((len(v), len(ix.centroids)), bool)
-    for k, p in enumerate(v_probes):
-        asked[k, p] = True
-    can &= (q_id[:, None] < v_id[None, :]) | ((q_home != cell)[:, None] & ~asked[:, q_home].T)
+    kinds, at = np.unique(q_home, return_inverse=True)
+    asked = np.zeros((len(v), len(kinds)), bool)
+    flat = np.fromiter((x for p in v_probes for x in p), np.int64)
+    spot = np.minimum(np.searchsorted(kinds, flat), len(kinds) - 1)
+    hit = kinds[spot] == flat
+    asked[np.repeat(np.arange(len(v)), [len(p) for p in v_probes])[hit], spot[hit]] = True
+    can &= (q_id[:, None] < v_id[None, :]) | ((q_home != cell)[:, None] & ~asked[:, at].T)
     if not can.any():
         return []
     if can.mean() > 0.1:
@@ -133,7 +197,7 @@ def block_links(ix: Index, cell: int, q: np.ndarray, q_id: np.ndarray, q_n: np.n
     return out
 
 
-def near_duplicates(vectors: DataFrame, ws: Workspace, least: float = 0.93, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, ws: Workspace, least: float = 0.93) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Vectors link when their labels are equal and not null and their cosine is at
@@ -142,8 +206,11 @@ def near_duplicates(vectors: DataFrame, ws: Workspace, least: float = 0.93, bloc
     without vec_id links with nothing: n_links 0, component_id its own vec_id.
     Copies of one vector link with each other, repeated rows included.  An empty
     table gives an empty result; further columns are ignored.  The index is
-    fitted on at most ``SAMPLE`` rows, smallest seeded hash first; every row is
-    indexed.
+    fitted on at most ``SAMPLE`` rows, smallest seeded hash first, of each of the
+    ``LENGTHS`` most frequent lengths of vectors; every row is indexed, those of
+    other lengths in one list of their label, whose members are all verified.
+    The probe width is ``SAFETY`` times that of the widest of all links of
+    ``ASKED`` rows, and never more than loses no link at all.
     """
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0)
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
@@ -151,8 +218,11 @@ def near_duplicates(vectors: DataFrame, ws: Workspace, least: float = 0.93, bloc
     key = ["label", "embedding"]
     classes = rows.where(good & fine).groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("cnt"))
     classes = ws.save(classes.withColumn("dim", F.size("embedding")), "classes")
-    index = fit(classes)
     radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
+    index = {d: (ix, probe_width(classes, d, ix, radius, least)) for d, ix in fit(classes).items()}
+
+    def known(d: int) -> tuple[Index, float]:
+        return index[d] if d in index else (whole(d), 0.0)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["rep", "cnt", "label", "dim", "raw", "cell", "codes", "err", "probes"]
@@ -161,23 +231,24 @@ def near_duplicates(vectors: DataFrame, ws: Workspace, least: float = 0.93, bloc
             for d in np.unique(dims):
                 part = b.take(pa.array(np.flatnonzero(dims == d)))
                 x = np.array(part.column(4).to_pylist(), np.float64)
-                home, codes, err, probes = encode(index[int(d)], x / np.linalg.norm(x, axis=1)[:, None], radius)
-                made = [pa.array(_pack(x), pa.binary()), pa.array(home.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err), pa.array(probes, pa.list_(pa.int32()))]
+                ix, width = known(int(d))
+                home, codes, err, probes = encode(ix, x / np.linalg.norm(x, axis=1)[:, None], width)
+                made = [pa.array(_pack(x), pa.binary()), pa.array(home.astype(np.int64)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err), pa.array(probes, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], *made], names)
 
     kind = dict(classes.dtypes)["label"]
-    placed = classes.select("rep", "cnt", "label", "dim", "embedding").mapInArrow(place, f"rep long, cnt long, label {kind}, dim int, raw binary, cell int, codes binary, err double, probes array<int>")
+    placed = classes.select("rep", "cnt", "label", "dim", "embedding").mapInArrow(place, f"rep long, cnt long, label {kind}, dim int, raw binary, cell long, codes binary, err double, probes array<long>")
     placed = ws.save(placed, "placed")
     at = ["label", "dim", "cell"]
     asks = placed.select("label", "dim", F.explode("probes").alias("cell"))
     sizes = placed.groupBy(*at).agg(F.count(F.lit(1)).alias("members")).join(asks.groupBy(*at).agg(F.count(F.lit(1)).alias("queries")), at)
-    sizes = ws.save(sizes.select(*at, F.ceil(F.col("members") / block).cast("int").alias("vb"), F.ceil(F.col("queries") / block).cast("int").alias("qb")), "sizes")
+    sizes = ws.save(sizes.select(*at, F.ceil(F.col("members") / MEMBERS).cast("int").alias("vb"), F.ceil(F.col("queries") / QUERIES).cast("int").alias("qb")), "sizes")
     own = F.xxhash64("rep", "cell")
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     held = ["rep", "cnt", *at, "raw"]
-    members = placed.join(sizes, at).select(*held, F.lit(None).cast("int").alias("home"), "probes", "codes", "err", F.pmod(own, "vb").cast("int").alias("v"), spread(F.col("qb")).alias("q"), F.lit(False).alias("asks"))
+    members = placed.join(sizes, at).select(*held, F.lit(None).cast("long").alias("home"), "probes", "codes", "err", F.pmod(own, "vb").cast("int").alias("v"), spread(F.col("qb")).alias("q"), F.lit(False).alias("asks"))
     queries = placed.withColumns({"home": F.col("cell"), "cell": F.explode("probes")}).join(sizes, at)
-    queries = queries.select(*held, "home", F.lit(None).cast("array<int>").alias("probes"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("err"), spread(F.col("vb")).alias("v"), F.pmod(own, "qb").cast("int").alias("q"), F.lit(True).alias("asks"))
+    queries = queries.select(*held, "home", F.lit(None).cast("array<long>").alias("probes"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("err"), spread(F.col("vb")).alias("v"), F.pmod(own, "qb").cast("int").alias("q"), F.lit(True).alias("asks"))
 
     def meet(table: pa.Table) -> pa.Table:
         who = table.column("asks").to_numpy(zero_copy_only=False)
@@ -185,10 +256,19 @@ def near_duplicates(vectors: DataFrame, ws: Workspace, least: float = 0.93, bloc
         out: list = []
         if len(q) and len(v):
             dim, cell = table.column("dim")[0].as_py(), table.column("cell")[0].as_py()
-            ids = lambda t: (_unpack(t.column("raw").to_pylist(), dim), t.column("rep").to_numpy(), t.column("cnt").to_numpy())
-            codes = np.stack([np.frombuffer(c, np.uint8) for c in v.column("codes").to_pylist()])
-            out = block_links(index[dim], cell, *ids(q), q.column("home").to_numpy(), *ids(v), v.column("probes").to_pylist(), codes, v.column("err").to_numpy(), least)
-        cols = list(zip(*out, strict=True)) or [[], [], []]
+            ix = known(dim)[0]
+            for t in (v.slice(i, BLOCK) for i in range(0, len(v), BLOCK)):
+                codes = np.stack([np.frombuffer(c, np.uint8) for c in t.column("codes").to_pylist()])
+                side = (_unpack(t.column("raw").to_pylist(), dim), t.column("rep").to_numpy(), t.column("cnt").to_numpy(), t.column("probes").to_pylist(), codes, t.column("err").to_numpy())
+                for r in (q.slice(i, BLOCK) for i in range(0, len(q), BLOCK)):
+                    ask = (_unpack(r.column("raw").to_pylist(), dim), r.column("rep").to_numpy(), r.column("cnt").to_numpy(), r.column("home").to_numpy())
+                    out += block_links(ix, cell, *ask, *side, least)
+        total: dict[int, int] = {}
+        for a, b, n in out:
+            if b is None:
+                total[a] = total.get(a, 0) + n
+        rows = [(a, b, 0) for a, b in dict.fromkeys((a, b) for a, b, _ in out if b is not None)] + [(a, None, n) for a, n in total.items()]
+        cols = list(zip(*rows, strict=True)) or [[], [], []]
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "n"])
 
     met = members.unionByName(queries).groupBy(*at, "v", "q").applyInArrow(meet, "a long, b long, n long")
@@ -204,13 +284,48 @@ def near_duplicates(vectors: DataFrame, ws: Workspace, least: float = 0.93, bloc
 
 
 def fit(classes: DataFrame) -> dict[int, Index]:
-    """An index per vector length, from at most ``SAMPLE`` classes of each."""
-    sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}
+    """An index for each of the ``LENGTHS`` most frequent lengths of vectors, from at most ``SAMPLE`` classes of each."""
+    each = classes.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count").alias("most"), F.sum("count").alias("n"))
     out = {}
-    for d, n in sizes.items():
-        # The smallest hashes are a fixed sample; a threshold keeps the sort to little more than the sample.
-        h = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1 << 30))
-        some = classes.where((F.col("dim") == d) & (h <= (1 << 30) * min(1.0, 1.5 * SAMPLE / n))).orderBy(h, "rep").limit(SAMPLE)
-        x = np.array([r[0] for r in some.select("embedding").collect()], np.float64)
-        out[d] = train(x / np.linalg.norm(x, axis=1)[:, None], n)
+    for d, most, n in each.orderBy(F.desc("n"), "dim").limit(LENGTHS).collect():
+        x = np.array([r["embedding"] for r in _some(classes, d, n, SAMPLE, 3)], np.float64)
+        out[d] = train(x / np.linalg.norm(x, axis=1)[:, None], most)
     return out
+
+
+def _some(classes: DataFrame, d: int, n: int, want: int, seed: int) -> list:
+    """At most ``want`` of ``n`` classes: the smallest hashes are a fixed sample; a threshold keeps the sort to little more than it."""
+    h = F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 30))
+    few = classes.where((F.col("dim") == d) & (h <= (1 << 30) * min(1.0, 1.5 * want / n)))
+    return few.orderBy(h, "rep").limit(want).select("rep", "label", "embedding").collect()
+
+
+def probe_width(classes: DataFrame, d: int, ix: Index, radius: float, least: float) -> float:
+    """How far from a border lists are still probed, from all links of ``ASKED`` classes.
+
+    Those few travel to all classes, which are read once; per batch only the
+    widest link and a count come back.
+    """
+    if ix.lists == 1:
+        return 0.0
+    mine = classes.where(F.col("dim") == d)
+    asked = _some(classes, d, mine.count(), ASKED, 4)
+    s = np.array([r["embedding"] for r in asked], np.float64)
+    s /= np.linalg.norm(s, axis=1)[:, None]
+    s_id = np.array([r["rep"] for r in asked])
+    s_label = [r["label"] for r in asked]
+    names = {x: i for i, x in enumerate(dict.fromkeys(s_label))}
+    s_kind = np.array([names[x] for x in s_label])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array(b.column(2).to_pylist(), np.float64)
+            u = x / np.linalg.norm(x, axis=1)[:, None]
+            kind = np.array([names.get(k, -1) for k in b.column(1).to_pylist()])
+            i, j = np.nonzero((u @ s.T >= least) & (kind[:, None] == s_kind) & (b.column(0).to_numpy()[:, None] != s_id))
+            far = float(reach(ix, u[i], s[j]).max()) if len(i) else 0.0
+            yield pa.RecordBatch.from_arrays([pa.array([far]), pa.array([len(i)], pa.int64())], ["far", "n"])
+
+    far, n = mine.select("rep", "label", "embedding").mapInArrow(measure, "far double, n long").agg(F.max("far"), F.sum("n")).first()
+    most = lossless(ix, radius)
+    return most if (n or 0) < EVIDENCE else min(most, SAFETY * far + 1e-6)
