@@ -1,7 +1,7 @@
 """Documents for the edge cases that every operator must stand."""
 
 #: Column names that operators use inside, to clash with.
-CLASH = ("fp", "rep", "bucket", "part", "whole", "cut", "size", "key", "raw", "h", "n", "component", "shard", "slot", "row", "id", "a", "b", "host", "target", "keep_id", "text_sha256", "grp", "nth")
+CLASH = ("fp", "rep", "bucket", "part", "whole", "cut", "size", "key", "raw", "h", "n", "component", "shard", "slot", "row", "id", "a", "b", "host", "target", "keep_id", "text_sha256", "grp", "nth", "_sha", "_mix", "_mix_bucket", "_mix_source", "_mix_copies", "_mix_copy", "chance", "copies", "layout", "template", "cell", "dim", "one", "no", "first_sha")
 LONG = "žodis word " * 40_000
 TEXTS = {
     1: "the quick brown fox jumps over the lazy dog",

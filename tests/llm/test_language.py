@@ -66,10 +66,11 @@ def test_doubt_rejects_where_letters_are_enough(spark):
     df = corpus(spark)
     texts = {r["doc_id"]: r["text"] for r in df.collect()}
     letters = {i: sum(map(str.isalpha, t)) for i, t in texts.items()}
-    net = langid.train(*langid.sample_windows(df))
+    net = langid.train(*langid.with_noise(*langid.sample_windows(df)))
+    real = [k for k, x in enumerate(net.langs) if x != langid.NOISE]
     sure = {}
     for i, t in texts.items():
-        each = [(len(w), langid.predict(net, [w])[1][0]) for w in langid.windows(t.encode())]
+        each = [(len(w), float(__import__("numpy").exp(langid.forward(net, langid.matrix([w]))[0, real].max()))) for w in langid.windows(t.encode())]
         sure[i] = sum(n * p for n, p in each) / sum(n for n, _ in each)
     least = sorted(v for i, v in sure.items() if letters[i] >= 30)[40] + 1e-6
     kept = {r["doc_id"] for r in langid.keep_identified(df, least, 30).collect()}
@@ -89,3 +90,59 @@ def test_the_bound_falls_on_all_languages_alike(spark):
     df = spark.createDataFrame([(i, f"{x} word " * 400, x) for i, x in enumerate(langs)], "doc_id long, text string, lang string")
     _, labels = langid.sample_windows(df, 300, 600)
     assert {x: labels.count(x) for x in set(langs)} == dict.fromkeys(set(langs), 75)
+
+
+def test_every_label_is_learned(spark):
+    rows = [(i, f"x{i % 700} y{i % 700} " * 30, f"l{i % 700}" if i % 700 else "") for i in range(2800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    _, labels = langid.sample_windows(df, 300, 600)
+    import zlib
+
+    seen = {x for i, _, x in rows if zlib.crc32(str(i).encode()) % 5}
+    assert set(labels) == seen and len(seen) > 690 and "" in labels
+
+
+def naive(net, raw):
+    """The network, window by window, filter by filter, with plain loops: mean log-probabilities weighted by bytes."""
+    import numpy as np
+
+    total = np.zeros(len(net.langs))
+    for at in range(0, len(raw), langid.WINDOW):
+        part = raw[at : at + langid.WINDOW]
+        bytes_ = list(part) + [32] * (langid.WINDOW - len(part))
+        pooled = []
+        for f in range(net.filters.shape[1]):
+            best = -np.inf
+            for i in range(0, langid.WINDOW - max(langid.WIDTHS) + 1, langid.STRIDE):
+                z = sum(float(net.embed[bytes_[i + k]] @ net.filters[k * langid.EMBED : (k + 1) * langid.EMBED, f]) for k in range(langid.WIDTHS[f // langid.FILTERS]))
+                best = max(best, z)
+            pooled.append(max(best + float(net.bias[f]), 0))
+        s = np.array(pooled) @ net.out + net.out_bias
+        total += (s - s.max() - np.log(np.exp(s - s.max()).sum())) * len(part)
+    return total / len(raw)
+
+
+def test_whole_query_equals_a_naive_network(spark):
+    import numpy as np
+
+    df = corpus(spark, 160)
+    net = langid.train(*langid.sample_windows(df))
+    got = {r["doc_id"]: r for r in langid.identify(df).collect()}
+    for r in df.where("doc_id < 12").collect():
+        mean = naive(net, r["text"].encode())
+        p = np.exp(mean - mean.max())
+        assert got[r["doc_id"]]["lang_pred"] == net.langs[int(mean.argmax())]
+        assert abs(got[r["doc_id"]]["score"] - (p / p.sum()).max()) < 1e-4
+
+
+def test_what_is_no_language_goes(spark):
+    import base64
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    df = corpus(spark)
+    junk = [base64.b64encode(rng.bytes(900)).decode(), rng.bytes(500).hex(), "".join(map(chr, rng.choice(np.arange(0x430, 0x450), 400))), " ".join("".join(map(chr, rng.choice(np.arange(33, 127), 7))) for _ in range(90))]
+    both = df.unionByName(spark.createDataFrame([(10_000 + i, t, None) for i, t in enumerate(junk)], df.schema))
+    kept = {r["doc_id"] for r in langid.keep_identified(both).collect()}
+    assert kept == set(range(400))

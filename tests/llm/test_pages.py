@@ -78,20 +78,71 @@ def test_distrust_reaches_those_who_link_to_it(spark):
     assert got[23]["host"] == "x" or got[23]["verdict"] == "allow"
 
 
-def test_pagerank_equals_dense(spark):
+def dense_rank(edges, seeds, damping=0.85):
+    """Fixed point by a linear solve; ``edges`` (src, dst, share), ``seeds`` node to weight; nodes without links return to the seeds."""
     import numpy as np
 
-    edges = [("t", 0, 1, 0.5), ("t", 0, 2, 0.5), ("t", 1, 0, 1.0), ("t", 2, 3, 1.0)]
-    seeds = spark.createDataFrame([("t", "0", 1.0)], "kind string, node string, weight double")
-    df = spark.createDataFrame([(k, str(a), str(b), s) for k, a, b, s in edges], "kind string, src string, dst string, share double")
-    got = {int(r["node"]): r["rank"] for r in urls.personalised_pagerank(df, seeds, Workspace(spark, "t"), rounds=60).collect()}
-    m, e, r = np.zeros((4, 4)), np.eye(4)[0], np.eye(4)[0]
-    for _, a, b, s in edges:
-        m[b, a] = s
-    for _ in range(60):
-        f = 0.85 * m @ r
-        r = f + (1 - f.sum()) * e
-    assert np.allclose([got[i] for i in range(4)], r, atol=1e-4)
+    nodes = sorted({x for a, b, _ in edges for x in (a, b)} | set(seeds))
+    at = {x: i for i, x in enumerate(nodes)}
+    m, e = np.zeros((len(nodes), len(nodes))), np.zeros(len(nodes))
+    for a, b, share in edges:
+        m[at[b], at[a]] += share
+    for x, w in seeds.items():
+        e[at[x]] = w
+    for i in range(len(nodes)):
+        if m[:, i].sum() == 0:
+            m[:, i] = e
+    r = np.linalg.solve(np.eye(len(nodes)) - damping * m, (1 - damping) * e)
+    return {x: r[at[x]] for x in nodes}
+
+
+def test_pagerank_equals_dense(spark):
+    edges = [("0", "1", 0.5), ("0", "2", 0.5), ("1", "0", 1.0), ("2", "3", 1.0)]
+    cycle = [("a", "b", 1.0), ("b", "a", 1.0)]
+    seeds = spark.createDataFrame([("t", "0", 1.0), ("d", "a", 1.0)], "kind string, node string, weight double")
+    df = spark.createDataFrame([("t", *e) for e in edges] + [("d", *e) for e in cycle], "kind string, src string, dst string, share double")
+    got = {(r["kind"], r["node"]): r["rank"] for r in urls.personalised_pagerank(df, seeds, Workspace(spark, "t")).collect()}
+    want = {("t", k): v for k, v in dense_rank(edges, {"0": 1.0}).items()} | {("d", k): v for k, v in dense_rank(cycle, {"a": 1.0}).items()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert round(got["d", "a"], 4) == 0.5405
+
+
+def test_verdicts_of_a_real_graph_equal_brute_force(spark):
+    """A spam farm, a hub, dangling hosts and a chain of trust, the whole query by dense algebra."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(4)
+    good, farm, odd = [f"g{i}.info" for i in range(12)], [f"f{i}.biz" for i in range(10)], [f"o{i}.io" for i in range(12)]
+    rows, n = [], 0
+    for k in range(30):
+        rows.append((f"http://bad{k % 3}.com/en/{k}", []))
+        rows.append((f"http://ok{k % 3}.net/de/{k}", rng.sample(good, 3) + ["hub.info"]))
+    for h_ in farm:
+        rows += [(f"http://{h_}/{i}", [f"bad{i % 3}.com", rng.choice(farm)]) for i in range(rng.randrange(1, 4))]
+    for h_ in good:
+        rows += [(f"http://{h_}/{i}", rng.sample(good + odd, 2)) for i in range(2)]
+    rows += [(f"http://hub.info/{i}", rng.sample(good + odd + farm, 8)) for i in range(6)] + [(f"http://{o}/{i}", rng.sample(odd + farm, 1) if i else []) for o in odd for i in range(2)]
+    table = [(i, u, "".join(f'<p><a class=x href="https://{x.upper()}/y?z">l</a>' for x in to)) for i, (u, to) in enumerate(rows)]
+    got = {r["page_id"]: r for r in urls.judge(pages(spark, table), Workspace(spark, "t")).collect()}
+    host = lambda u: u.split("/")[2]
+    ruled = {i: "block" if "bad" in u else "allow" if "ok" in u else None for i, (u, _) in enumerate(rows)}
+    per = Counter(host(u) for u, _ in rows)
+    mass = Counter()
+    for verdict, sign in (("allow", -1), ("block", 1)):
+        links = Counter((host(u), x) if verdict == "allow" else (x, host(u)) for u, to in rows for x in to if x != host(u))
+        out = Counter()
+        for (a, _), k in links.items():
+            out[a] += k
+        own = Counter(host(u) for i, (u, _) in enumerate(rows) if ruled[i] == verdict)
+        total = sum(own.values())
+        for x, r in dense_rank([(a, b, k / out[a]) for (a, b), k in links.items()], {x: k / total for x, k in own.items()}).items():
+            mass[x] += sign * total * r
+    for i, (u, _) in enumerate(rows):
+        score = mass[host(u)] / per[host(u)]
+        assert abs(got[i]["host_score"] - score) < 1e-3
+        assert got[i]["verdict"] == (ruled[i] or ("block" if score > 0.5 else "allow"))
+    assert len({got[i]["verdict"] for i, (u, _) in enumerate(rows) if host(u) in farm}) == 2 or any(got[i]["verdict"] == "block" for i, (u, _) in enumerate(rows) if host(u) in farm)
 
 
 def test_url_edges(spark):

@@ -5,8 +5,8 @@ prime, so fingerprints of chunks combine by length-shifted arithmetic:
 ``H(a + b) = H(a) * 256**len(b) + H(b)``.  Documents above ``split_bytes`` are
 cut into chunk rows that are hashed in parallel tasks and combined afterwards;
 shorter ones are hashed chunk by chunk where they lie.  Equal fingerprints only
-nominate: every nominated text is compared with its group's first one, chunk by
-chunk, and what differs forms groups of its own.
+nominate: the chunks of every nominated text meet those of its group's first one
+by their number, each a row of its own, and what differs forms groups of its own.
 """
 
 from __future__ import annotations
@@ -44,16 +44,11 @@ def fingerprint(data: bytes, modulus: int = MODULUS, chunk: int = CHUNK) -> int:
     return combine([(chunk_hash(c, modulus), len(c)) for c in cuts], modulus)
 
 
-def same_bytes(a: bytes, b: bytes, chunk: int = CHUNK) -> bool:
-    """Whether two texts are equal, read chunk by chunk up to the first difference."""
-    if len(a) != len(b):
-        return False
-    x, y = memoryview(a), memoryview(b)
-    return all(x[i : i + chunk] == y[i : i + chunk] for i in range(0, len(a), chunk))
+def fingerprints(docs: DataFrame, ws: Workspace, modulus: int = MODULUS, split_bytes: int = 1 << 24, chunk: int = CHUNK) -> DataFrame:
+    """One row per document: doc_id, n_bytes, fp (hex), text_sha256 of its normalised text.
 
-
-def fingerprints(docs: DataFrame, modulus: int = MODULUS, split_bytes: int = 1 << 24, chunk: int = CHUNK) -> DataFrame:
-    """One row per document: doc_id, n_bytes, fp (hex), text_sha256 of its normalised text."""
+    Both sides of ``split_bytes`` give the same; above it no task hashes a whole text.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,19 +78,21 @@ def fingerprints(docs: DataFrame, modulus: int = MODULUS, split_bytes: int = 1 <
     one = rows.where(F.octet_length("text") <= split_bytes).select("doc_id", F.col("text").cast("binary").alias("raw"))
     # A chunk row is a thousandth of what a task can hold, whatever the document's length.
     big = rows.where(F.octet_length("text") > split_bytes).select("doc_id", F.regexp_replace("text", SPACE, " ").cast("binary").alias("raw"))
-    big = big.select("doc_id", F.sha2("raw", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row"), "raw")
+    # Written before it is used twice: a second evaluation could number the rows in another way.
+    big = ws.save(big.select("doc_id", F.sha2("raw", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row"), "raw"), "big")
     step = max(chunk, split_bytes // 16)
-    pieces = big.select("row", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("raw") - 1) / step).cast("int")), lambda i: F.substring(F.col("raw"), i * step + 1, F.lit(step)))).alias("no", "part"))
+    pieces = cut(big.select("row", "doc_id", "raw"), step)
     parts = pieces.repartition(F.col("row"), F.col("no")).mapInArrow(hashed, "row long, doc_id long, no int, n long, h string")
     whole = parts.groupBy("row").agg(F.collect_list(F.struct("no", "h", "n")).alias("parts"))
     whole = whole.join(big.select("row", "doc_id", "text_sha256"), "row").select("doc_id", "text_sha256", "parts").mapInArrow(joined, schema)
     return one.mapInArrow(short, schema).unionByName(whole)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        same = [same_bytes(squeeze(x), squeeze(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.bool_())], ["doc_id", "text_sha256", "same"])
+def cut(rows: DataFrame, step: int) -> DataFrame:
+    """``rows`` with no and part, one per ``step`` bytes of raw (one for an empty raw), in place of raw; a row is made as it is read, never all of a text's."""
+    last = F.greatest(F.floor((F.octet_length("raw") - 1) / step), F.lit(0)).cast("int")
+    numbered = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("no"))
+    return numbered.select(*(c for c in rows.columns if c != "raw"), "no", F.substring(F.col("raw"), F.col("no") * step + 1, F.lit(step)).alias("part"))
 
 
 def exact_duplicates(docs: DataFrame, ws: Workspace, modulus: int = MODULUS, split_bytes: int = 1 << 24) -> DataFrame:
@@ -109,37 +106,35 @@ def exact_duplicates(docs: DataFrame, ws: Workspace, modulus: int = MODULUS, spl
     as two documents.  An empty table gives an empty result; further columns of
     ``docs`` are ignored.
     """
-    fps = ws.save(fingerprints(docs, modulus, split_bytes), "fingerprints")
+    # The number tells repeats of one row apart; it is written with the row, so it stays.
+    fps = ws.save(fingerprints(docs, ws, modulus, split_bytes).withColumn("nth", F.monotonically_increasing_id()), "fingerprints")
     known = fps.where("doc_id is not null")
     key = ["fp", "n_bytes"]
     groups = ws.save(known.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.min(F.struct("doc_id", "text_sha256"))["text_sha256"].alias("first_sha")).where("group_size > 1"), "groups")
     members = ws.save(known.join(groups, key).select("doc_id", "keep_id", "text_sha256", "first_sha", "n_bytes", "fp"), "members")
-    # Whole texts of nominated documents only; what a group's texts are compared with is its first text.
-    wanted = members.select("doc_id", "text_sha256").distinct()
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
-    norm = F.sha2(F.regexp_replace(F.col("raw").cast("string"), SPACE, " "), 256)
+    # Whole texts of nominated documents only, as chunks; each text leaves its row once.
+    wanted = members.select("doc_id", "text_sha256", "keep_id", "first_sha").distinct()
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # Always by sort and merge: the list of ids grows with the input, and a plan that changes with it would not scale alike.
-    texts = raw.join(wanted.hint("merge"), "doc_id").where(norm == F.col("text_sha256"))
-    texts = ws.save(texts.select("doc_id", "text_sha256", "raw"), "texts")
-    todo, settled = members, []
+    texts = raw.join(wanted.hint("merge"), "doc_id").withColumn("raw", F.regexp_replace("text", SPACE, " ").cast("binary")).drop("text")
+    texts = texts.where(F.sha2("raw", 256) == F.col("text_sha256"))
+    chunks = ws.save(cut(texts, CHUNK), "chunks")
+    todo, settled, held = members, [], chunks
     while True:
-        pairs = todo.where("doc_id <> keep_id or text_sha256 <> first_sha").select("doc_id", "text_sha256", "keep_id", "first_sha").distinct()
-        firsts = texts.join(todo.select(F.col("keep_id").alias("doc_id"), F.col("first_sha").alias("text_sha256")).distinct(), ["doc_id", "text_sha256"])
-        firsts = ws.save(firsts.dropDuplicates(["doc_id", "text_sha256"]).select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("first_sha"), F.col("raw").alias("first_raw")), "firsts")
-        held = texts.join(pairs, ["doc_id", "text_sha256"]).join(firsts, ["keep_id", "first_sha"]).select("doc_id", "text_sha256", "raw", "first_raw")
-        same = ws.save(held.mapInArrow(_compare, "doc_id long, text_sha256 string, same boolean"), "compared")
-        ws.drop(firsts)
-        wrong = same.where("not same").select("doc_id", "text_sha256").distinct()
-        if not wrong.limit(1).count():
+        # Held chunks carry their group; those of the first text meet all others of their number.
+        mine = (F.col("doc_id") == F.col("keep_id")) & (F.col("text_sha256") == F.col("first_sha"))
+        firsts = held.where(mine).select("keep_id", "first_sha", "no", F.col("part").alias("first_part")).dropDuplicates(["keep_id", "first_sha", "no"])
+        met = held.where(~mine).join(firsts, ["keep_id", "first_sha", "no"], "left")
+        odd = ws.save(met.where(~F.col("part").eqNullSafe(F.col("first_part"))).select("doc_id", "text_sha256").distinct(), "odd")
+        if not odd.limit(1).count():
             settled.append(todo)
             break
         # Equal fingerprints of different texts: they form groups of their own and are compared again.
-        odd = ws.save(wrong, "odd")
         settled.append(todo.join(odd, ["doc_id", "text_sha256"], "left_anti"))
-        rest = todo.join(odd, ["doc_id", "text_sha256"]).drop("keep_id", "first_sha")
-        rest = ws.save(rest, "rest")
+        rest = ws.save(todo.join(odd, ["doc_id", "text_sha256"]).drop("keep_id", "first_sha"), "rest")
         first = ws.save(rest.groupBy(*key).agg(F.min(F.struct("doc_id", "text_sha256")).alias("f")), "first")
         todo = ws.save(rest.join(first, key).select("*", F.col("f.doc_id").alias("keep_id"), F.col("f.text_sha256").alias("first_sha")).drop("f"), "todo")
+        held = chunks.drop("keep_id", "first_sha").join(todo.select("doc_id", "text_sha256", "keep_id", "first_sha").distinct(), ["doc_id", "text_sha256"])
     classes = settled[0] if len(settled) == 1 else ws.save(_all(settled), "classes")
     classes = classes.select("doc_id", "text_sha256", "keep_id", "first_sha").distinct()
     if len(settled) == 1:
@@ -150,9 +145,12 @@ def exact_duplicates(docs: DataFrame, ws: Workspace, modulus: int = MODULUS, spl
         sizes = ws.save(sized.groupBy("keep_id", "first_sha").agg(F.count(F.lit(1)).alias("group_size")), "sizes")
         classes = ws.save(classes.join(sizes, ["keep_id", "first_sha"]).select("doc_id", "text_sha256", "keep_id", "group_size"), "sized")
         out = known.join(classes, ["doc_id", "text_sha256"], "left")
-    out = out.select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "text_sha256")
-    nth = F.row_number().over(_by("doc_id", "text_sha256"))
-    out = out.withColumn("kept", (F.col("doc_id") == F.col("keep_id")) & (nth == 1))
+    out = out.select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "text_sha256", "nth")
+    # Of rows that repeat whole, the first by number is the one kept; few rows do.
+    again = known.where("doc_id is not null").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("one")).where("n > 1")
+    again = ws.save(again.select("doc_id", "text_sha256", "one"), "again")
+    out = out.join(again, ["doc_id", "text_sha256"], "left")
+    out = out.withColumn("kept", (F.col("doc_id") == F.col("keep_id")) & F.coalesce(F.col("one") == F.col("nth"), F.lit(True))).drop("nth", "one")
     lost = fps.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256", F.lit(True).alias("kept"))
     return out.unionByName(lost).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -164,26 +162,24 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _by(*cols: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*cols).orderBy(F.lit(0))
-
-
 def drop_exact_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """``docs`` without later copies, with the columns of ``docs``.
+    """``docs`` without later copies, with the columns of ``docs``, whatever they are called.
 
-    Rows without doc_id all stay.  Of a repeated row one copy stays.
+    Texts are equal as in ``exact_duplicates``; a null text counts as empty.  Rows
+    without doc_id all stay.  Of a repeated row one copy stays; two texts under one
+    doc_id are two documents.  Texts of any length; an empty table gives an empty
+    result.
     """
     found = exact_duplicates(docs, ws)
     gone = found.where("doc_id is not null and doc_id <> keep_id").select("doc_id", "text_sha256").distinct()
     norm = F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE, " "), 256)
-    marked = docs.withColumn("_sha", norm)
-    rest = marked.join(gone.select(F.col("doc_id"), F.col("text_sha256").alias("_sha")).hint("merge"), ["doc_id", "_sha"], "left_anti")
+    # The row travels as one struct, apart from what is added beside it.
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), norm.alias("text_sha256"))
+    rest = marked.join(gone.hint("merge"), ["doc_id", "text_sha256"], "left_anti")
     many = ws.save(found.where("doc_id = keep_id and not kept").select("doc_id").distinct(), "many")
     if not many.limit(1).count():
-        return rest.select(*docs.columns)
+        return rest.select("row.*")
     # Only doc_ids that occur in repeated rows are dealt by key.
-    once = rest.join(many, "doc_id", "left_anti").select(*docs.columns)
-    again = rest.join(many, "doc_id").dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    once = rest.join(many, "doc_id", "left_anti").select("row.*")
+    again = rest.join(many, "doc_id").dropDuplicates(["doc_id", "text_sha256"]).select("row.*")
     return once.unionByName(again)

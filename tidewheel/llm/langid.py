@@ -7,6 +7,7 @@ their log-probabilities are averaged, weighted by length.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -19,13 +20,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 WINDOW, STRIDE = 512, 2
 #: Filter widths, filters of each, and size of a byte's embedding.
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 12, 8
-#: Training windows per language (about), and in all at most; windows taken of one document, evenly spaced.
-PER_LANG, MOST, PER_DOC = 3000, 24000, 4
+#: Training windows per language (about), and in all at most, but FEW of each language; windows taken of one document, evenly spaced.
+PER_LANG, MOST, FEW, PER_DOC = 3000, 24000, 50, 4
 #: Windows computed at once.
 AT_ONCE = 256
 #: A text is rejected if its windows find no language with that probability, unless it has too few letters to tell.
 LEAST, ENOUGH = 0.4, 100
 UNKNOWN = "und"
+#: The class of what is no language, in the networks that know one; no label is written so.
+NOISE = "\U0010ffff"
+#: First and last letters of scripts (fixed values: Unicode blocks) that are noise unless the training texts use them.
+SCRIPTS = ((0x3B1, 0x3C9), (0x430, 0x44F), (0x561, 0x586), (0x5D0, 0x5EA), (0x628, 0x64A), (0x915, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x3041, 0x3093), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
 
 
 @dataclass
@@ -68,8 +73,8 @@ def forward(net: Network, x: np.ndarray) -> np.ndarray:
     return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
 
 
-def train(parts: list[bytes], labels: list[str], epochs: int = 10, batch: int = 64, rate: float = 3e-3, seed: int = 9) -> Network:
-    """Fit the network on labelled windows with Adam; one seed, one result."""
+def train(parts: list[bytes], labels: list[str], epochs: int = 10, batch: int = 64, rate: float = 3e-3, seed: int = 9, steps: int = 300) -> Network:
+    """Fit the network on labelled windows with Adam, in ``epochs`` rounds or what makes ``steps`` updates; one seed, one result."""
     langs = sorted(set(labels))
     rng = np.random.default_rng(seed)
     mask = np.concatenate([np.repeat(np.repeat(np.arange(max(WIDTHS)) < w, EMBED)[:, None], FILTERS, 1) for w in WIDTHS], axis=1)
@@ -83,7 +88,7 @@ def train(parts: list[bytes], labels: list[str], epochs: int = 10, batch: int =
     m1 = {k: np.zeros_like(getattr(net, k)) for k in names}
     m2 = {k: np.zeros_like(getattr(net, k)) for k in names}
     t = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * batch // max(len(x), batch)))):
         order = rng.permutation(len(x))
         for at in range(0, len(x), batch):
             pick = order[at : at + batch]
@@ -119,7 +124,8 @@ def train(parts: list[bytes], labels: list[str], epochs: int = 10, batch: int =
 
 
 def judge(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Of every text the mean log-probabilities of its windows, and how sure its windows are: the mean of their best probability."""
+    """Of every text the mean log-probabilities of its windows, and how sure its windows are: the mean of their best language's probability."""
+    real = np.array([x != NOISE for x in net.langs])
     parts, owner = [], []
     for i, raw in enumerate(texts):
         got = windows(raw)
@@ -133,10 +139,48 @@ def judge(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         log_p = forward(net, matrix(some))
         np.add.at(total, own, log_p * n[:, None])
         np.add.at(weight, own, n)
-        np.add.at(sure, own, np.exp(log_p.max(axis=1)) * n)
+        np.add.at(sure, own, np.exp(log_p[:, real].max(axis=1)) * n)
     return total / np.maximum(weight, 1)[:, None], sure / np.maximum(weight, 1)
 
 
+def noise(parts: list[bytes], n: int, seed: int = 15) -> list[bytes]:
+    """``n`` windows of no language, as long as ``parts`` are: encoded bytes, shuffled letters, random characters, letters of scripts that ``parts`` don't use."""
+    rng = np.random.default_rng(seed)
+    used = {ord(c) for p in parts for c in p.decode("utf-8", "ignore")}
+    scripts = [np.arange(a, b + 1) for a, b in SCRIPTS if used.isdisjoint(range(a, b + 1))]
+
+    def words(letters: np.ndarray, size: int) -> str:
+        # Words of 2 to 11 letters.
+        got = rng.choice(letters, size)
+        cuts = np.cumsum(rng.integers(2, 12, size))
+        return " ".join("".join(map(chr, w)) for w in np.split(got, cuts[cuts < size]))
+
+    made = []
+    for k in range(n):
+        like = parts[int(rng.integers(len(parts)))]
+        size, kind = len(like), k % 6
+        if kind == 0:
+            text = base64.b64encode(rng.bytes(size)).decode()
+        elif kind == 1:
+            text = rng.bytes(size).hex()
+        elif kind == 2:
+            text = "".join(rng.permutation(list(like.decode("utf-8", "ignore"))))
+        elif kind == 3:
+            text = words(np.arange(33, 127), size)
+        elif kind == 4 or not scripts:
+            text = words(np.arange(97, 123), size)
+        else:
+            text = words(scripts[int(rng.integers(len(scripts)))], size)
+        made.append(text.encode()[:size])
+    return made
+
+
+def with_noise(parts: list[bytes], labels: list[str]) -> tuple[list[bytes], list[str]]:
+    """Training windows with as many of no language as the languages have on average."""
+    more = noise(parts, len(parts) // max(1, len(set(labels)))) if parts else []
+    return parts + more, labels + [NOISE] * len(more)
+
+
 def predict(net: Network, texts: list[bytes]) -> tuple[list[str], list[float]]:
     """Language of every text and its mean probability."""
     mean, _ = judge(net, texts)
@@ -161,16 +205,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample_windows(docs: DataFrame, per_lang: int = PER_LANG, most: int = MOST) -> tuple[list[bytes], list[str]]:
-    """Labelled training windows, about ``per_lang`` for each language and at most ``most``: texts by seeded hash of the doc_id, in each evenly spaced windows."""
-    rows = docs.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null and lang <> ''").where(~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most // 50).collect()}
+    """Labelled training windows, about ``per_lang`` for each language and at most ``most``, or ``FEW`` of each if that is more: texts by seeded hash of the doc_id, in each evenly spaced windows."""
+    rows = docs.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null").where(~held_out(F.col("doc_id")))
+    counts = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect()]
     if not counts:
         return [], []
-    want = min(per_lang, most // len(counts)) // PER_DOC + 1
+    quota = max(FEW, min(per_lang, most // len(counts)))
+    want = quota // PER_DOC + 1
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(77)), F.lit(1 << 30))
-    chance = F.lit(0.0)
-    for lang, n in counts.items():
-        chance = F.when(F.col("lang") == lang, 1.5 * want / n).otherwise(chance)
+    # One row a label, as many as the network has outputs.
+    chances = docs.sparkSession.createDataFrame([(x, 1.5 * want / n * (1 << 30)) for x, n in counts], "lang string, chance double")
+    rows = rows.withColumn("lang", F.col("lang").cast("string")).join(chances, "lang")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,10 +230,10 @@ def sample_windows(docs: DataFrame, per_lang: int = PER_LANG, most: int = MOST)
                         parts.append(part)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(parts, pa.binary())], ["h", "lang", "part"])
 
-    found = rows.where(h < chance * (1 << 30)).select(h.alias("h"), "lang", F.col("text").cast("binary").alias("raw")).mapInArrow(cut, "h long, lang string, part binary")
+    found = rows.where(h < F.col("chance")).select(h.alias("h"), "lang", F.col("text").cast("binary").alias("raw")).mapInArrow(cut, "h long, lang string, part binary")
     # Each language is cut by itself: hashes of frequent ones are small, so one common cut would take the rare ones.
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))
-    kept = found.withColumn("nth", nth).where(F.col("nth") <= min(per_lang, most // len(counts)))
+    kept = found.withColumn("nth", nth).where(F.col("nth") <= quota)
     got = kept.orderBy("h", "lang", "part").select("part", "lang").collect()
     return [bytes(r["part"]) for r in got], [r["lang"] for r in got]
 
@@ -225,13 +270,15 @@ def keep_identified(docs: DataFrame, least: float = LEAST, enough: int = ENOUGH)
     """``docs`` whose language can be told, with the columns of ``docs``.
 
     A text without a letter (null and empty ones too) is rejected, and so is one
-    whose windows give their best language less than ``least`` on average: each
-    window counts by itself, so a text in several languages stays.  Fewer than
-    ``enough`` letters say too little: such a text stays.  Without labels to learn
-    from only texts without letters go.  Repeated rows fare alike; an empty table
-    gives an empty result.
+    whose windows give their best language less than ``least`` on average.  The
+    network also knows a class of what is no language, so encoded data, shuffled
+    letters and scripts it never learned leave little to any.  Each window counts
+    by itself, so a text in several languages stays.  Fewer than ``enough``
+    letters say too little: such a text stays.  Without labels to learn from only
+    texts without letters go.  Very long texts are read to the end; repeated rows
+    fare alike; an empty table gives an empty result.
     """
-    parts, labels = sample_windows(docs)
+    parts, labels = with_noise(*sample_windows(docs))
     net = train(parts, labels) if parts else None
     # The verdict travels with the row, so nothing is joined back.
     fields = docs.schema

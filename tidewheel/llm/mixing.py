@@ -103,19 +103,20 @@ def sample_mix(docs: DataFrame, ws: Workspace, weights: tuple[float, ...] = (1,
     """The mixed documents, whole, each as often as its copies say, with the columns of ``docs``.
 
     A fractional repetition becomes a whole one with its fraction as seeded
-    chance; texts are never cut here.
+    chance; texts are never cut here, however long.  The seeded hash of doc_id
+    decides, so reruns agree and repeated rows fare alike; a null doc_id hashes
+    like any value.  A null text has size 0, null is a source of its own, and
+    documents of a source without words don't come.  Columns may have any name.
+    An empty table gives an empty result.
     """
     key = F.xxhash64(F.col("doc_id"), F.lit(seed))
     sized = docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.pmod(key, F.lit(BUCKETS)).cast("int").alias("bucket"))
     held = ws.save(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
     targets = ws.save(source_targets(held.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs, share), "targets")
     plan = ws.save(cut_buckets(held, targets), "plan")
-    # One struct under an unlikely name: whatever else the documents' columns are called stays apart.
-    plan = plan.select(F.col("p_source").alias("_mix_source"), F.struct("whole", "cut", "part").alias("_mix"))
-    rows = docs.withColumn("_mix_bucket", F.pmod(key, F.lit(BUCKETS)).cast("int")).join(plan, F.col("source").cast("string").eqNullSafe(F.col("_mix_source")))
-    chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed + 1)), F.lit(1 << 20)) / float(1 << 20)
-    more = (F.col("_mix_bucket") < F.col("_mix.cut")) | ((F.col("_mix_bucket") == F.col("_mix.cut")) & (chance < F.col("_mix.part")))
-    copies = (F.col("_mix.whole") + F.when(more, 1).otherwise(0)).cast("int")
-    rows = rows.withColumn("_mix_copies", copies).where("_mix_copies > 0")
-    # Explode last and carry nothing of the plan along.
-    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    # The row travels as one struct, apart from what is added beside it.
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("source").cast("string").alias("source"), F.pmod(key, F.lit(BUCKETS)).cast("int").alias("bucket"), (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed + 1)), F.lit(1 << 20)) / float(1 << 20)).alias("chance"))
+    rows = row.join(plan, F.col("source").eqNullSafe(F.col("p_source")))
+    more = (F.col("bucket") < F.col("cut")) | ((F.col("bucket") == F.col("cut")) & (F.col("chance") < F.col("part")))
+    rows = rows.select("row", (F.col("whole") + F.when(more, 1).otherwise(0)).cast("int").alias("copies")).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

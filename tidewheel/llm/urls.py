@@ -62,35 +62,45 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return rows.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, ws: Workspace, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
-    """Rank (kind, node, rank) from seeds, for every kind apart.
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, ws: Workspace, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """Rank (kind, node, rank) from seeds, for every kind apart, summing to 1.
 
     ``edges``: kind, src, dst, share (of src's outgoing weight, summing to 1).
     ``seeds``: kind, node, weight (summing to 1 for each kind).  The mass of
-    nodes without links returns to the seeds.  Stops when no kind moves by more
-    than ``tolerance`` in all.
+    nodes without links returns to the seeds: the rank is the sum over all paths
+    from the seeds, each step damped, in proportion.  A step's mass is at most
+    ``damping`` times the last one's, so what all later steps can add is known;
+    the loop ends when that is below ``tolerance`` of the whole for every kind,
+    after a number of steps that damping and tolerance bound.
     """
-    rank = ws.save(seeds.select("kind", "node", F.col("weight").alias("rank")), "rank")
-    if not edges.limit(1).count():
-        return rank
-    kept = ws.save(edges, "shares")
-    base = ws.save(seeds, "seeds")
-    for _ in range(rounds):
-        flow = kept.join(rank.select("kind", F.col("node").alias("src"), "rank"), ["kind", "src"]).groupBy("kind", F.col("dst").alias("node")).agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("rank"))
-        flow = ws.save(flow, "flow")
-        sums = {r["kind"]: r["s"] for r in flow.groupBy("kind").agg(F.sum("rank").alias("s")).collect()}
-        back = F.lit(1.0)
-        for kind, s in sums.items():
-            back = F.when(F.col("kind") == kind, F.lit(1.0 - s)).otherwise(back)
-        was = rank.select("kind", "node", F.lit(0.0).alias("rank"), F.col("rank").alias("was"))
-        parts = flow.select("kind", "node", "rank", F.lit(0.0).alias("was")).unionByName(was).unionByName(base.select("kind", "node", (F.col("weight") * back).alias("rank"), F.lit(0.0).alias("was")))
-        new = ws.save(parts.groupBy("kind", "node").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")), "rank")
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
-        ws.drop(flow, rank)
-        rank = new
-        if moved is None or moved <= tolerance:
+    shares = ws.save(edges, "shares")
+    mass = ws.save(seeds.select("kind", "node", F.col("weight").alias("rank")), "mass")
+    parts, total = [mass], {r["kind"]: r["s"] for r in mass.groupBy("kind").agg(F.sum("rank").alias("s")).collect()}
+    while total:
+        step = mass.select("kind", F.col("node").alias("src"), "rank").join(shares, ["kind", "src"])
+        mass = ws.save(step.groupBy("kind", F.col("dst").alias("node")).agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("rank")), "mass")
+        moved = {r["kind"]: r["s"] for r in mass.groupBy("kind").agg(F.sum("rank").alias("s")).collect()}
+        for kind, s in moved.items():
+            total[kind] += s
+        parts.append(mass)
+        if all(s * damping / (1 - damping) <= tolerance * total[kind] for kind, s in moved.items()):
             break
-    return rank.select("kind", "node", "rank")
+        if len(parts) == 12:
+            # The last one goes on, the others are one table again.
+            old, parts = parts[:-1], [ws.save(_added(parts[:-1]), "added"), mass]
+            ws.drop(*old)
+    ranks = _added(parts)
+    whole = F.lit(1.0)
+    for kind, s in total.items():
+        whole = F.when(F.col("kind") == kind, F.lit(float(s))).otherwise(whole)
+    return ranks.select("kind", "node", (F.col("rank") / whole).alias("rank"))
+
+
+def _added(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0].select("kind", "node", "rank")
+    for p in parts[1:]:
+        out = out.unionByName(p.select("kind", "node", "rank"))
+    return out.groupBy("kind", "node").agg(F.sum("rank").alias("rank"))
 
 
 def judge(pages: DataFrame, ws: Workspace, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
@@ -100,9 +110,9 @@ def judge(pages: DataFrame, ws: Workspace, rules: tuple[Rule, ...] = RULES, thre
     distrust less its trust, counted in pages (a rank times all blocked or
     allowed pages), blocks if above ``threshold`` of the host's own pages.  A
     null url, or one without "://", has an empty host and path, takes part in no
-    graph and is allowed unless a rule fits.  A null html has no links.  Repeated
-    rows count as pages; an empty table gives an empty result; further columns
-    are ignored.
+    graph and is allowed unless a rule fits.  A null html has no links; a very
+    long one gives all of its links.  Repeated rows count as pages; an empty table
+    gives an empty result; further columns are ignored.
     """
     rows = pages.select("page_id", web.host(F.col("url")).alias("host"), web.path(F.col("url")).alias("path"))
     rows = rows.withColumn("m", match_rule(F.col("host"), F.col("path"), rules))
