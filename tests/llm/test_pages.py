@@ -167,6 +167,81 @@ def cosine(passage, templates, passages):
     return max((sum(x * b.get(w, 0) for w, x in a.items()) / norm(a) / norm(b), -i) for i, b in enumerate(vec(t) for _, t in templates))[0]
 
 
+def passages_of(path, text):
+    """Sentences and lines of every paragraph, and a licence file as a whole, by plain string work."""
+    import re
+
+    plain = "\n".join(re.sub(r"^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--|-->|(?:REM|rem|dnl)\b)?[ \t]*", "", x) for x in (text or "").split("\n"))
+    one = lambda x: " ".join(x.split())
+    out = []
+    for par in re.split(r"\n\n+", plain):
+        out += dict.fromkeys([*re.split(r"(?<=[.!?:]) +(?=[A-Z\"(])", one(par)), *map(one, par.split("\n"))])
+    if path and path.rsplit("/", 1)[-1].upper().split(".")[0] in ("LICENSE", "LICENCE", "COPYING", "NOTICE"):
+        out.append(one(plain))
+    return [x for x in out if re.search(licenses.CUE, x)]
+
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2021 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+
+
+def wrapped(text, mark, width):
+    import textwrap
+
+    return "\n".join(f"{mark}{x}" for x in textwrap.wrap(text, width))
+
+
+@pytest.mark.parametrize("width", [30, 50, 72])
+def test_wrapped_notices_and_licence_files(spark, width):
+    pick = lambda name: max((t for k, t in licenses.TEMPLATES if k == name), key=len)
+    apache = "Copyright 2020 X. " + " ".join(t for k, t in licenses.TEMPLATES[3:7] if "except" not in t or "Licensed" in t)
+    files = {
+        "a/mpl.c": "/*\n" + wrapped("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", " * ", width) + "\n */\nint x;",
+        "a/gpl.py": wrapped(next(t for k, t in licenses.TEMPLATES if k == "GPL-3.0" and "redistribute" in t), "# ", width) + "\n\nimport os",
+        "a/gpl2.js": wrapped(next(t for k, t in licenses.TEMPLATES if k == "GPL-2.0" and "redistribute" in t), "// ", width),
+        "a/apache.go": wrapped(apache, "// ", width) + "\n\npackage x",
+        "a/bsd.h": wrapped(pick("BSD-3-Clause"), "   ", width),
+        "m/LICENSE": MIT_FILE,
+        "b/LICENSE.txt": "Copyright (c) 1999, X\nAll rights reserved.\n\n" + wrapped(pick("BSD-3-Clause"), "", width),
+        "i/COPYING": "Copyright X\n\n" + wrapped(pick("ISC"), "", width),
+        "m/src/deep/x.c": "int y;" + " word" * 30_000,
+    }
+    df = spark.createDataFrame(list(files.items()), "path string, text string")
+    got = {r["path"]: r for r in licenses.scan(df, Workspace(spark, "t")).collect()}
+    want = {"a/mpl.c": "MPL-2.0", "a/gpl.py": "GPL-3.0", "a/gpl2.js": "GPL-2.0", "a/apache.go": "Apache-2.0", "a/bsd.h": "BSD-3-Clause", "m/LICENSE": "MIT", "b/LICENSE.txt": "BSD-3-Clause", "i/COPYING": "ISC", "m/src/deep/x.c": "MIT"}
+    assert {p: r["license"] for p, r in got.items()} == want
+    assert got["m/src/deep/x.c"]["inherited_from"] == "m/LICENSE" and got["a/gpl.py"]["n_headers"] == 1
+
+
+def test_cue_keeps_what_a_template_would_match():
+    """Templates with half of their words lost: how many that are still close hold a cue."""
+    import random
+    import re
+
+    rng, near, cued = random.Random(5), 0, 0
+    for _, t in licenses.TEMPLATES:
+        assert re.search(licenses.CUE, t), t
+        words = t.split()
+        for _ in range(50):
+            left = " ".join(w for w in words if rng.random() < 0.5)
+            if re.search(licenses.TERM, left.lower()) and cosine(left, licenses.TEMPLATES, [left]) >= licenses.LEAST:
+                near, cued = near + 1, cued + bool(re.search(licenses.CUE, left))
+    print("cue recall", cued, "of", near)
+    assert near > 500 and cued >= 0.9 * near
+
+
 def test_licences_and_inheritance(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     files = {
@@ -177,6 +252,7 @@ def test_licences_and_inheritance(spark):
         "lib/x/own.py": f"# head\n{gpl}\ncode",
         "lib/near.py": "we licensed a song to the radio yesterday",
         "open/n.md": f"{mit}\nthen prose",
+        "open/COPYING": mit,
         "open/sub/p.md": "prose",
     }
     df = spark.createDataFrame([(p, t, "x", "y") for p, t in files.items()] + [(None, mit, "x", "y"), ("z/null", None, "x", "y"), ("z/null", None, "x", "y")], "path string, text string, license string, score string")
@@ -184,10 +260,10 @@ def test_licences_and_inheritance(spark):
     by = {r["path"]: r for r in got}
     assert len(got) == len(files) + 3
     assert [(by[p]["license"], by[p]["inherited_from"]) for p in files] == [
-        ("GPL-3.0", None), ("GPL-3.0", "LICENSE"), ("MIT", None), ("MIT", "lib/x/LICENSE.txt"), ("GPL-3.0", None), ("GPL-3.0", "LICENSE"), ("MIT", None), ("MIT", "open/n.md"),
+        ("GPL-3.0", None), ("GPL-3.0", "LICENSE"), ("MIT", None), ("MIT", "lib/x/LICENSE.txt"), ("GPL-3.0", None), ("GPL-3.0", "LICENSE"), ("MIT", None), ("MIT", None), ("MIT", "open/COPYING"),
     ]
     assert by[None]["own_license"] is None and by[None]["license"] is None and by["z/null"]["license"] == "GPL-3.0"
-    passages = [gpl, mit, gpl, "we licensed a song to the radio yesterday", mit, mit]
+    passages = [p for f, t in [*files.items(), (None, mit)] for p in passages_of(f, t)]
     assert by["lib/x/own.py"]["score"] == pytest.approx(cosine(gpl, licenses.TEMPLATES, passages), abs=1e-6)
     assert licenses.scan(df.limit(0), Workspace(spark, "t")).count() == 0
 
