@@ -123,9 +123,12 @@ def exact_duplicates(docs: DataFrame, ws: Workspace, modulus: int = MODULUS, spl
     while True:
         # Held chunks carry their group; those of the first text meet all others of their number.
         mine = (F.col("doc_id") == F.col("keep_id")) & (F.col("text_sha256") == F.col("first_sha"))
-        firsts = held.where(mine).select("keep_id", "first_sha", "no", F.col("part").alias("first_part")).dropDuplicates(["keep_id", "first_sha", "no"])
+        # Written, so that both sides of the join are dealt straight from tables and a hot group's partition can be split.
+        firsts = ws.save(held.where(mine).select("keep_id", "first_sha", "no", F.col("part").alias("first_part")).dropDuplicates(["keep_id", "first_sha", "no"]), "firsts")
         met = held.where(~mine).join(firsts, ["keep_id", "first_sha", "no"], "left")
-        odd = ws.save(met.where(~F.col("part").eqNullSafe(F.col("first_part"))).select("doc_id", "text_sha256").distinct(), "odd")
+        wrong = ws.save(met.where(~F.col("part").eqNullSafe(F.col("first_part"))).select("doc_id", "text_sha256"), "wrong")
+        ws.drop(firsts)
+        odd = wrong.distinct()
         if not odd.limit(1).count():
             settled.append(todo)
             break
