@@ -14,6 +14,8 @@ MARKS = ".,!?;:…\"'()–—-„“«»"
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 # Letters that sentence case raises.
 LOWER = "abcdefghijklmnopqrstuvwxyząčęėįšųūž"
+#: Up to a sentence mark and the white space behind it, however much, before the next word.
+SENTENCES = r"(?s).*?[.!?]\s+(?=\S)"
 
 
 def agreement_key(word: Column) -> Column:
@@ -37,14 +39,26 @@ def cores(text: str) -> list[str]:
     return [unicodedata.normalize("NFC", w.lower()) for w in found if w]
 
 
-def word_cores(text: Column) -> Column:
-    """``cores`` as a column function: Spark has no Unicode normalisation of its own."""
+def same_cores(a: Column, b: Column) -> Column:
+    """Whether two texts have the same ``cores``: Spark has no Unicode normalisation of its own."""
 
-    @F.pandas_udf("array<string>")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda t: cores(t or ""))
+    @F.pandas_udf("boolean")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([cores(p or "") == cores(q or "") for p, q in zip(x, y, strict=True)], dtype=bool)
 
-    return run(text)
+    return run(a, b)
+
+
+def core_count(words: Column) -> Column:
+    """How many words are more than marks."""
+    return F.size(F.filter(words, lambda w: F.btrim(w, F.lit(MARKS)) != "")).cast("long")
+
+
+def screen_step(lines: list[str], cur: str, word: str, width: int = 42, last: int = 2) -> tuple[list[str], str]:
+    """``screen_lines`` word by word: the lines that are full, the last ones of them, and the open one."""
+    if len(cur) + len(word) + 1 > width:
+        return [*lines, cur][-last:], word
+    return lines, f"{cur} {word}" if cur else word
 
 
 def sentence_case(text: Column) -> Column:
@@ -53,7 +67,7 @@ def sentence_case(text: Column) -> Column:
     The text is cut behind each sentence mark and its white space, so each piece
     begins where a sentence does.
     """
-    pieces = F.split(text, r"(?<=[.!?]\s{1,64})(?=\S)")
+    pieces = F.regexp_extract_all(text, F.lit(SENTENCES + r"|.+\z"), F.lit(0))
     first = lambda x: F.substring(x, 1, 1)
     raised = F.transform(pieces, lambda x: F.when(first(x).rlike(f"^[{LOWER}]"), F.concat(F.upper(first(x)), F.substring(x, 2, 2**30))).otherwise(x))
     return F.array_join(raised, "")
@@ -108,4 +122,4 @@ def nonempty_join(segments: Column) -> Column:
 
 def sentence_case_py(text: str) -> str:
     """``sentence_case`` for one text, as taggers use it."""
-    return "".join(p[:1].upper() + p[1:] if p[:1] in LOWER else p for p in re.split(r"(?<=[.!?]\s)(?=\S)", text))
+    return "".join(p[:1].upper() + p[1:] if p[:1] and p[0] in LOWER else p for p in re.findall(SENTENCES + r"|.+\Z", text))

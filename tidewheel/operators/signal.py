@@ -39,22 +39,20 @@ def speech_regions(frames: DataFrame, rms_thr: float = 1e-4, min_gap: int = 15,
     return got.join(total, "rec_id").select("rec_id", F.col("region_no").cast("long").alias("region_no"), F.greatest(F.col("a") - pad, F.lit(0)).cast("long").alias("f0"), F.least(F.col("b") + 1 + pad, "total").cast("long").alias("f1"))
 
 
+def best_pause(energy: np.ndarray, wanted: int) -> int:
+    """The quietest place of a window, the first on ties; its depth counts against 0.35 of its distance from ``wanted``."""
+    depth = (energy - energy.min()) / max(float(np.ptp(energy)), 1e-9)
+    away = np.abs(np.arange(len(energy)) - wanted) / len(energy)
+    return int(np.argmin(depth + 0.35 * away))
+
+
 def cut_points(rms: np.ndarray, length: int, shortest: int, target: int, longest: int) -> list[int]:
-    """Block ends within a region of ``length`` frames: the quietest frame near ``target``, the first on ties."""
-    ends, start = [], 0
-    while start < length:
-        if length - start <= longest:
-            ends.append(length)
-            break
-        lo, hi = start + shortest, min(length, start + longest)
-        view = rms[lo:hi]
-        if len(view):
-            scale = max(float(view.max()) - float(view.min()), 1e-9)
-            score = (view - view.min()) / scale + 0.35 * np.abs(np.arange(len(view)) - (target - shortest)) / len(view)
-            hi = lo + int(np.argmin(score))
-        start = hi
-        ends.append(start)
-    return ends
+    """Block ends within a region of ``length`` frames; what fits in one block is not cut."""
+    ends = [0]
+    while length - ends[-1] > longest:
+        window = rms[ends[-1] + shortest : ends[-1] + longest]
+        ends.append(ends[-1] + (shortest + best_pause(window, target - shortest) if len(window) else longest))
+    return [*ends[1:], length] if length else []
 
 
 def pause_blocks(frames: DataFrame, regions: DataFrame, shortest: int = 12, target: int = 25, longest: int = 29, least: int = 1) -> DataFrame:
@@ -63,7 +61,9 @@ def pause_blocks(frames: DataFrame, regions: DataFrame, shortest: int = 12, targ
     One start depends on the last cut, so a region is one unit of work; regions
     and recordings are independent of each other.
     """
-    inside = frames.join(regions, "rec_id").where((F.col("frame") >= F.col("f0")) & (F.col("frame") < F.col("f1")))
+    # Regions name their frames, so every frame meets its own region alone.
+    wide = regions.where("f1 > f0").select("rec_id", "region_no", "f0", "f1", F.explode(F.sequence(F.col("f0").cast("int"), (F.col("f1") - 1).cast("int"))).alias("frame"))
+    inside = frames.join(wide, ["rec_id", "frame"])
 
     def cut(table: pa.Table) -> pa.Table:
         table = table.sort_by("frame")

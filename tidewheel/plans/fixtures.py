@@ -40,16 +40,14 @@ def segments(w: DataFrame) -> DataFrame:
     return got.select("rec_id", nth.cast("long").alias("seg_idx"), "a_ms", "b_ms", "spk")
 
 
-#: Hours of the event table.
-FRAMES = 720
-
-
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec_id, frame, rms: an hour of a user's events is a frame; hours without events are quiet."""
-    ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec_id"), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 3600000000).cast("int").alias("frame"), "value")
-    ev = ev.where(F.col("frame").between(0, FRAMES - 1))
-    rms = ev.groupBy("rec_id", "frame").agg(F.sqrt(F.avg(F.col("value") * F.col("value")) + 1e-12).alias("rms"))
-    grid = ev.select("rec_id").distinct().select("rec_id", F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1))).alias("frame"))
+    """rec_id, frame, rms: an hour of a user's events is a frame, from the table's first hour to its last; hours without events are quiet."""
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000)
+    ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec_id"), hour.alias("hour"), "value")
+    lo, hi = ev.agg(F.min("hour"), F.max("hour")).first()
+    lo, hi = lo or 0, hi or 0
+    rms = ev.groupBy("rec_id", (F.col("hour") - lo).cast("int").alias("frame")).agg(F.sqrt(F.avg(F.col("value") * F.col("value")) + 1e-12).alias("rms"))
+    grid = ev.select("rec_id").distinct().select("rec_id", F.explode(F.sequence(F.lit(0), F.lit(int(hi - lo)))).alias("frame"))
     return grid.join(rms, ["rec_id", "frame"], "left").select("rec_id", "frame", F.coalesce("rms", F.lit(1e-6)).alias("rms"))
 
 

@@ -101,12 +101,13 @@ bodies AS (
 
 _FRAMES = """
 ev AS (
-    SELECT user_id AS rec_id, CAST(floor((epoch_us(ts) - 1704067200000000) / 3600000000) AS INTEGER) AS frame, value FROM events
+    SELECT user_id AS rec_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hour, value FROM events
 ),
-er AS (SELECT rec_id, frame, sqrt(avg(value * value) + 1e-12) AS rms FROM ev WHERE frame BETWEEN 0 AND 719 GROUP BY rec_id, frame),
+sp AS (SELECT min(hour) AS lo, CAST(max(hour) - min(hour) + 1 AS BIGINT) AS n FROM ev),
+er AS (SELECT rec_id, hour - (SELECT lo FROM sp) AS frame, sqrt(avg(value * value) + 1e-12) AS rms FROM ev GROUP BY rec_id, hour),
 frames AS (
     SELECT g.rec_id, g.frame, coalesce(er.rms, 1e-6) AS rms
-    FROM (SELECT rec_id, unnest(range(720)) AS frame FROM (SELECT DISTINCT rec_id FROM er)) g
+    FROM (SELECT rec_id, unnest(range((SELECT n FROM sp))) AS frame FROM (SELECT DISTINCT rec_id FROM er)) g
     LEFT JOIN er ON er.rec_id = g.rec_id AND er.frame = g.frame
 )"""
 
@@ -114,7 +115,7 @@ _REGIONS = """
 vo AS (SELECT rec_id, frame, frame - lag(frame) OVER (PARTITION BY rec_id ORDER BY frame) - 1 AS gap FROM frames WHERE rms > 5),
 vi AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 15 THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id ORDER BY frame) - 1 AS region_no FROM vo),
 regions AS (
-    SELECT rec_id, CAST(region_no AS BIGINT) AS region_no, CAST(greatest(min(frame) - 3, 0) AS BIGINT) AS f0, CAST(least(max(frame) + 4, 720) AS BIGINT) AS f1
+    SELECT rec_id, CAST(region_no AS BIGINT) AS region_no, CAST(greatest(min(frame) - 3, 0) AS BIGINT) AS f0, CAST(least(max(frame) + 4, (SELECT n FROM sp)) AS BIGINT) AS f1
     FROM vi GROUP BY rec_id, region_no
 )"""
 
@@ -308,7 +309,8 @@ ORACLES: dict[str, str] = {
     "cue_lines": _B + "SELECT rec_id, cue_no, lines, CASE WHEN contains(lines, chr(10)) THEN CAST(2 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS n_lines FROM bodies",
     "srt_rows": _B + f"SELECT rec_id, cue_no, CAST(cue_no AS VARCHAR) || chr(10) || {_stamp('start_ms', ',')} || ' --> ' || {_stamp('end_ms', ',')} || chr(10) || body AS block FROM bodies",
     "vtt_rows": _B + f"SELECT rec_id, cue_no, {_stamp('start_ms', '.')} || ' --> ' || {_stamp('end_ms', '.')} || chr(10) || body AS block FROM bodies",
-    "transcript_json": _with(_WORDS) + "SELECT rec_id, idx, w, start_ms, end_ms, spk FROM words",
+    "transcript_json": _with(_WORDS, _TURNS) + """SELECT rec_id, 'word' AS kind, CAST(idx AS BIGINT) AS nth, w AS said, start_ms, end_ms, spk FROM words
+        UNION ALL SELECT rec_id, 'turn', CAST(turn_no AS BIGINT), text, start_ms, end_ms, spk FROM turns""",
     "cues_from_json": _C + "SELECT rec_id, cue_no, spk, start_ms, end_ms, text FROM cues",
     "frame_rms": _with(_FRAMES) + "SELECT rec_id, CAST(frame AS INTEGER) AS frame, round(rms, 6) AS rms FROM frames",
     "sample_frames": """WITH s AS (SELECT user_id AS rec_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value FROM events)
@@ -318,13 +320,13 @@ ORACLES: dict[str, str] = {
         SELECT rec_id, round(rms, 6) AS rms, round(peak, 9) AS peak, rms < 1e-5 AS rejected,
                round(CASE WHEN rms < 1e-5 THEN NULL WHEN rms < 0.02 THEN least(0.95::DOUBLE / peak, 20.0::DOUBLE) ELSE 1.0::DOUBLE END, 6) AS gain FROM g""",
     "speech_regions": _G + "SELECT * FROM regions",
-    "pause_blocks": _with(_FRAMES, "whole AS (SELECT DISTINCT rec_id, 0 AS region_no, 0 AS f0, 720 AS f1 FROM frames)", _blocks("whole"), recursive=True)
+    "pause_blocks": _with(_FRAMES, "whole AS (SELECT DISTINCT rec_id, 0 AS region_no, 0 AS f0, (SELECT n FROM sp) AS f1 FROM frames)", _blocks("whole"), recursive=True)
     + "SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY f0) - 1 AS block_no, f0, f1 FROM blocks",
     "gated_blocks": _with(_FRAMES, _REGIONS, _blocks("regions"), recursive=True) + "SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY f0) - 1 AS block_no, f0, f1 FROM blocks WHERE f1 - f0 >= 2",
-    "skipped_ranges": _G + """, e AS (SELECT rec_id, f0, f1 FROM regions UNION ALL SELECT DISTINCT rec_id, 720, 720 FROM frames),
+    "skipped_ranges": _G + """, e AS (SELECT rec_id, f0, f1 FROM regions UNION ALL SELECT DISTINCT rec_id, (SELECT n FROM sp), (SELECT n FROM sp) FROM frames),
         g AS (SELECT rec_id, lag(f1, 1, 0) OVER (PARTITION BY rec_id ORDER BY f0, f1) AS g0, f0 AS g1 FROM e)
         SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY g0) AS gap_no, g0, g1 FROM g WHERE g1 - g0 > 10 QUALIFY gap_no <= 6""",
-    "speech_totals": _G + "SELECT f.rec_id, CAST(coalesce(s, 0) AS BIGINT) AS speech, CAST(720 - coalesce(s, 0) AS BIGINT) AS skipped FROM (SELECT DISTINCT rec_id FROM frames) f LEFT JOIN (SELECT rec_id, sum(f1 - f0) AS s FROM regions GROUP BY rec_id) r ON r.rec_id = f.rec_id",
+    "speech_totals": _G + "SELECT f.rec_id, CAST(coalesce(s, 0) AS BIGINT) AS speech, CAST((SELECT n FROM sp) - coalesce(s, 0) AS BIGINT) AS skipped FROM (SELECT DISTINCT rec_id FROM frames) f LEFT JOIN (SELECT rec_id, sum(f1 - f0) AS s FROM regions GROUP BY rec_id) r ON r.rec_id = f.rec_id",
     "empty_blocks": _G + """, b AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY region_no) AS r FROM regions WHERE region_no % 3 <> 0)
         SELECT rec_id, count(*) AS n_empty, CAST(sum(f1 - f0) AS BIGINT) AS total, string_agg(CAST(f0 AS VARCHAR) || '-' || CAST(f1 AS VARCHAR), ' ' ORDER BY r) FILTER (r <= 6) AS first_ranges FROM b GROUP BY rec_id""",
     "progress_sample": _G + """, p AS (SELECT rec_id, region_no AS step, row_number() OVER (PARTITION BY rec_id ORDER BY region_no) AS nth, count(*) OVER (PARTITION BY rec_id) AS total FROM regions)
@@ -340,7 +342,7 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, array_to_string(list_transform(l, lambda x: CASE WHEN regexp_matches(x, '^[a-ząčęėįšųūž]') THEN upper(left(x, 1)) || substr(x, 2) ELSE x END), '') AS text FROM p""",
     "word_functions": _with(_WORDS) + f"SELECT DISTINCT w, {_key('w')} AS key, right(w, 1) IN ('.', '!', '?', '…') AS ends, length(w) AS n FROM words",
     "time_functions": _with(_WORDS) + f"SELECT rec_id, idx, {_stamp('start_ms', '.')} AS dot, {_stamp('start_ms', ',')} AS comma, printf('[%02d:%02d]', start_ms // 60000, start_ms // 1000 % 60) AS minute, least(400, (end_ms - start_ms) * 8 // 1000 + 16) AS budget, 'rec.' || CAST(rec_id AS VARCHAR) || 'k.srt' AS name FROM words",
-    "wrapped_turns": r"WITH c AS (SELECT *, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '')[1:14] AS ws FROM conversations) SELECT conv_id, turn, "
+    "wrapped_turns": r"WITH c AS (SELECT *, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS ws FROM conversations) SELECT conv_id, turn, "
     + _wrapped("ws")
     + " AS two, array_to_string(list_filter(list_transform(string_split(text, '.'), lambda x: trim(x)), lambda x: x <> ''), ' ') AS parts FROM c",
     "screen_text": r"""WITH RECURSIVE c AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS ws FROM conversations),
@@ -355,7 +357,8 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, turn, array_to_string(CASE WHEN len(l) > 2 THEN l[len(l) - 1:] ELSE l END, chr(10)) AS screen FROM e""",
     "common_prefix": _with(_WORDS, _HYPOTHESES)
     + f""", h AS (SELECT stream_id, step, CASE WHEN silent THEN hyp[1:0] ELSE hyp END AS hyp FROM hypotheses),
-        p AS (SELECT a.stream_id, a.step, a.hyp AS x, b.hyp AS y FROM h a JOIN h b ON b.stream_id = a.stream_id AND b.step = a.step + 1 WHERE len(a.hyp) > 0 AND len(b.hyp) > 0 AND a.hyp[1].start_ms = b.hyp[1].start_ms)
+        q AS (SELECT a.stream_id, a.step, a.hyp AS x, b.hyp AS y, greatest(coalesce(a.hyp[1].start_ms, 0), coalesce(b.hyp[1].start_ms, 0)) AS t FROM h a JOIN h b ON b.stream_id = a.stream_id AND b.step = a.step + 1),
+        p AS (SELECT stream_id, step, list_filter(x, lambda z: z.start_ms >= t) AS x, list_filter(y, lambda z: z.start_ms >= t) AS y FROM q)
         SELECT stream_id, step, coalesce(list_position(list_transform(range(1, least(len(x), len(y)) + 1), lambda i: {_key('x[i].w')} = {_key('y[i].w')}), false) - 1, least(len(x), len(y))) AS n FROM p""",
     "local_agreement": _A + "SELECT * FROM agreed",
     "commit_lag_percentiles": _A + "SELECT stream_id, count(*) AS n, list(lag_ms ORDER BY lag_ms)[count(*) // 2 + 1] AS p50_ms, list(lag_ms ORDER BY lag_ms)[CAST(floor(count(*) * 0.9) AS BIGINT) + 1] AS p90_ms FROM agreed GROUP BY stream_id",

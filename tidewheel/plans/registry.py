@@ -123,9 +123,12 @@ def vtt_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def transcript_json(spark: SparkSession, d: str) -> DataFrame:
-    """Written as JSON and read back: the words must return."""
+    """Written as JSON and read back: the words and the turns must return."""
     w = fx.words(spark, d)
-    return files.parse_transcripts(assemble.transcript_json(assemble.turns(w), w))
+    json = assemble.transcript_json(assemble.turns(w), w)
+    said = files.parse_transcripts(json).select("rec_id", F.lit("word").alias("kind"), F.col("idx").alias("nth"), F.col("w").alias("said"), "start_ms", "end_ms", "spk")
+    told = files.parse_turns(json).select("rec_id", F.lit("turn").alias("kind"), F.col("turn_no").alias("nth"), F.col("text").alias("said"), "start_ms", "end_ms", "spk")
+    return said.unionByName(told)
 
 
 @query

@@ -24,6 +24,13 @@ def parse_transcripts(rows: DataFrame) -> DataFrame:
     return got.select("rec_id", F.col("idx").cast("long").alias("idx"), F.col("x.w").alias("w"), ms("x.start").alias("start_ms"), ms("x.end").alias("end_ms"), F.col("x.spk").alias("spk"))
 
 
+def parse_turns(rows: DataFrame) -> DataFrame:
+    """rec_id, turn_no, spk, start_ms, end_ms, text from (rec_id, json)."""
+    got = rows.select("rec_id", F.from_json("json", TRANSCRIPT).alias("t")).select("rec_id", F.posexplode("t.turns").alias("turn_no", "x"))
+    ms = lambda c: F.round(F.col(c) * 1000).cast("long")
+    return got.select("rec_id", F.col("turn_no").cast("long").alias("turn_no"), F.col("x.spk").alias("spk"), ms("x.start").alias("start_ms"), ms("x.end").alias("end_ms"), F.col("x.text").alias("text"))
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """Words of every JSON transcript under ``path``."""
     rows = spark.read.text(path, wholetext=True).select(F.xxhash64(F.input_file_name()).alias("rec_id"), F.col("value").alias("json"))
