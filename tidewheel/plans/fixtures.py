@@ -96,3 +96,19 @@ def hypotheses(w: DataFrame) -> DataFrame:
     got = met.groupBy("rec_id", "step", "last").agg(F.max("end_ms").alias("clock_ms"), F.transform(F.array_sort(F.collect_list(item)), lambda x: x["x"]).alias("hyp"))
     silent = (F.col("step") % 17 == 0) & ~F.col("last")
     return got.select(F.col("rec_id").alias("stream_id"), F.col("step").cast("long").alias("step"), "clock_ms", silent.alias("silent"), "last", F.when(silent, F.slice("hyp", 1, 0)).otherwise(F.col("hyp")).alias("hyp"))
+
+
+#: Milliseconds of a chunk of the synthetic streams.
+CHUNK_MS = 700
+
+
+def chunks(w: DataFrame) -> DataFrame:
+    """stream_id, step, ms, energy, last, said: a recording's time in chunks, seven of every forty of them quiet, with the words that start in each loud one."""
+    total = w.groupBy("rec_id").agg(F.max("end_ms").alias("total"))
+    grid = total.select("rec_id", "total", F.explode(F.sequence(F.lit(0), F.floor(F.col("total") / CHUNK_MS))).alias("k"))
+    loud = F.col("k") % 40 < 33
+    said = w.select("rec_id", F.floor(F.col("start_ms") / CHUNK_MS).alias("k"), F.struct("idx", F.struct("w", "start_ms", "end_ms").alias("x")).alias("item"))
+    said = said.groupBy("rec_id", "k").agg(F.transform(F.array_sort(F.collect_list("item")), lambda x: x["x"]).alias("said"))
+    got = grid.join(said, ["rec_id", "k"], "left")
+    nothing = F.array().cast("array<struct<w:string,start_ms:bigint,end_ms:bigint>>")
+    return got.select(F.col("rec_id").alias("stream_id"), (F.col("k") + 1).alias("step"), F.lit(CHUNK_MS).cast("long").alias("ms"), F.when(loud, F.lit(0.01)).otherwise(F.lit(1e-10)).alias("energy"), (F.col("k") == F.floor(F.col("total") / CHUNK_MS)).alias("last"), F.when(loud, F.coalesce("said", nothing)).otherwise(nothing).alias("said"))

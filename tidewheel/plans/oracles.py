@@ -278,6 +278,65 @@ agreed AS (
     FROM au
 )"""
 
+#: The live captions as a recursive fold over the steps, each of three chunks of 700 ms.
+_LIVE = f"""
+ct AS (SELECT rec_id, max(end_ms) AS total FROM words GROUP BY rec_id),
+ck AS (SELECT rec_id, total, unnest(range(total // 700 + 1)) AS k FROM ct),
+cw AS (SELECT rec_id, start_ms // 700 AS k, list(struct_pack(w := w, start_ms := start_ms, end_ms := end_ms) ORDER BY idx) AS said FROM words GROUP BY ALL),
+cs AS (
+    SELECT ck.rec_id, k // 3 + 1 AS step, 700 * count(*) AS len, sqrt(avg(CASE WHEN k % 40 < 33 THEN 0.01::DOUBLE ELSE 1e-10::DOUBLE END) + 1e-12) < 1e-4 AS quiet,
+           flatten(list(CASE WHEN k % 40 < 33 THEN coalesce(said, []) ELSE [] END ORDER BY k)) AS said
+    FROM ck LEFT JOIN cw USING (rec_id, k) GROUP BY ck.rec_id, k // 3
+),
+lv AS (
+    SELECT rec_id, CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS clock, CAST(0 AS BIGINT) AS t0, CAST(0 AS BIGINT) AS skipped,
+           CAST(-1 AS BIGINT) AS c_end, CAST(-1 AS BIGINT) AS c_start, said[1:0] AS buf, said[1:0] AS tent, said[1:0] AS forced, said[1:0] AS agreed
+    FROM cs WHERE step = 1
+    UNION ALL
+    SELECT rec_id, step, clock,
+           CASE WHEN gone THEN clock WHEN can AND t2 < c_end3 AND c_end3 < clock THEN c_end3 ELSE t2 END,
+           skipped + CASE WHEN gone THEN 1 ELSE 0 END, c_end3, c_start3,
+           CASE WHEN gone THEN buf2[1:0] WHEN can AND t2 < c_end3 AND c_end3 < clock THEN list_filter(buf2, lambda x: x.start_ms >= c_end3) ELSE buf2 END,
+           CASE WHEN can THEN fresh[n + 1:] ELSE tent2 END, forced2, CASE WHEN can THEN fresh[1:n] ELSE fresh[1:0] END
+    FROM (
+        SELECT *, CASE WHEN can AND n > 0 THEN fresh[n].end_ms ELSE c_end2 END AS c_end3, CASE WHEN can AND n > 0 THEN fresh[n].start_ms ELSE c_start2 END AS c_start3
+        FROM (
+            SELECT *, coalesce(list_position(list_transform(range(1, least(len(fresh), len(tent2)) + 1), lambda i: {_key('fresh[i].w')} = {_key('tent2[i].w')}), false) - 1, least(len(fresh), len(tent2))) AS n
+            FROM (
+                SELECT *, NOT gone AND clock - t2 >= 1000 AS can,
+                       list_filter(list_transform(buf2, lambda x, i: struct_pack(w := CASE WHEN step % 11 >= 7 THEN x.w || '~' || step WHEN step % 2 = 0 AND i = len(buf2) THEN x.w || 'x'
+                           WHEN step % 3 = 0 THEN upper(replace(x.w, 'ß', 'ss')) ELSE x.w || ',' END, start_ms := x.start_ms, end_ms := x.end_ms)), lambda x: x.start_ms >= c_end2 AND x.start_ms > c_start2) AS fresh
+                FROM (
+                    SELECT *, forced1 || CASE WHEN over THEN tent1 ELSE tent1[1:0] END AS forced2, CASE WHEN over THEN tent1[1:0] ELSE tent1 END AS tent2,
+                           CASE WHEN over AND len(tent1) > 0 THEN tent1[-1].end_ms ELSE c_end1 END AS c_end2, CASE WHEN over AND len(tent1) > 0 THEN tent1[-1].start_ms ELSE c_start1 END AS c_start2,
+                           CASE WHEN over THEN clock - 3000 ELSE t0 END AS t2, list_filter(buf1, lambda x: x.start_ms >= CASE WHEN over THEN clock - 3000 ELSE t0 END) AS buf2
+                    FROM (
+                        SELECT *, quiet AND len(tent1) = 0 AS gone, NOT (quiet AND len(tent1) = 0) AND clock - t0 > 6000 AS over, buf || said AS buf1
+                        FROM (
+                            SELECT lv.rec_id, cs.step, lv.clock + len AS clock, t0, skipped, quiet, buf, said,
+                                   CASE WHEN quiet AND len >= 800 THEN tent ELSE tent[1:0] END AS forced1, CASE WHEN quiet AND len >= 800 THEN tent[1:0] ELSE tent END AS tent1,
+                                   CASE WHEN quiet AND len >= 800 AND len(tent) > 0 THEN tent[-1].end_ms ELSE c_end END AS c_end1,
+                                   CASE WHEN quiet AND len >= 800 AND len(tent) > 0 THEN tent[-1].start_ms ELSE c_start END AS c_start1
+                            FROM lv JOIN cs ON cs.rec_id = lv.rec_id AND cs.step = lv.step + 1
+                        )
+                    )
+                )
+            )
+        )
+    )
+),
+lm AS (
+    SELECT rec_id, step, 0 AS part, clock, forced AS ws, true AS forced FROM lv
+    UNION ALL SELECT rec_id, step, 1, clock, agreed, false FROM lv
+    UNION ALL SELECT rec_id, step, 2, clock, tent, true FROM lv QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY step DESC) = 1
+),
+lu AS (SELECT rec_id, step, part, clock, forced, unnest(ws) AS x, generate_subscripts(ws, 1) AS pos FROM lm),
+lived AS (
+    SELECT rec_id AS stream_id, row_number() OVER (PARTITION BY rec_id ORDER BY step, part, pos) - 1 AS seq, x.w AS w, x.start_ms AS start_ms, x.end_ms AS end_ms,
+           greatest(0, clock - x.end_ms) AS lag_ms, forced
+    FROM lu
+)"""
+
 _C = _with(_WORDS, _CUES, recursive=True)
 _B = _with(_WORDS, _CUES, _BODIES, recursive=True)
 _G = _with(_FRAMES, _REGIONS)
@@ -363,4 +422,20 @@ ORACLES: dict[str, str] = {
     "local_agreement": _A + "SELECT * FROM agreed",
     "commit_lag_percentiles": _A + "SELECT stream_id, count(*) AS n, list(lag_ms ORDER BY lag_ms)[count(*) // 2 + 1] AS p50_ms, list(lag_ms ORDER BY lag_ms)[CAST(floor(count(*) * 0.9) AS BIGINT) + 1] AS p90_ms FROM agreed GROUP BY stream_id",
     "stream_captions": _A + "SELECT * FROM agreed",
+    "stream_captions_full": _with(_WORDS, _LIVE, recursive=True) + "SELECT * FROM lived",
+    "stream_screen": _with(_WORDS, _LIVE, recursive=True)
+    + r""", lt AS (SELECT stream_id, string_agg(w, ' ' ORDER BY seq) AS t FROM lived GROUP BY stream_id),
+        lp AS (SELECT stream_id, regexp_split_to_array(regexp_replace(t, '([.!?]) ', '\1 ' || chr(1), 'g'), chr(1)) AS l FROM lt),
+        lc AS (SELECT stream_id, array_to_string(list_transform(l, lambda x: CASE WHEN regexp_matches(x, '^[a-ząčęėįšųūž]') THEN upper(left(x, 1)) || substr(x, 2) ELSE x END), '') AS text FROM lp),
+        lw AS (SELECT stream_id, text, string_split(text, ' ') AS ws FROM lc),
+        lf AS (
+            SELECT stream_id, text, ws, 0 AS i, CAST([] AS VARCHAR[]) AS lines, '' AS cur FROM lw
+            UNION ALL
+            SELECT stream_id, text, ws, i + 1, CASE WHEN length(cur) + length(ws[i + 1]) + 1 > 42 THEN list_append(lines, cur) ELSE lines END,
+                   CASE WHEN length(cur) + length(ws[i + 1]) + 1 > 42 OR cur = '' THEN ws[i + 1] ELSE cur || ' ' || ws[i + 1] END
+            FROM lf WHERE i < len(ws)
+        ),
+        le AS (SELECT stream_id, text, CASE WHEN cur <> '' THEN list_append(lines, cur) ELSE lines END AS l FROM lf WHERE i = len(ws)),
+        ls AS (SELECT rec_id, max(skipped) AS skipped FROM lv GROUP BY rec_id)
+        SELECT le.stream_id, text, array_to_string(CASE WHEN len(l) > 2 THEN l[len(l) - 1:] ELSE l END, chr(10)) AS screen, CAST(skipped AS BIGINT) AS skipped FROM le JOIN ls ON ls.rec_id = le.stream_id""",
 }

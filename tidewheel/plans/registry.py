@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -11,6 +12,7 @@ from ..functions.clock import minute_stamp, output_name, stamp, stem
 from ..functions.text import agreement_key, collapse, ends_sentence, nonempty_join, screen_lines, sentence_case, token_budget, tokens, wrap_two
 from ..operators import agreement, assemble, punctuate, signal, speakers, words
 from ..sources import files
+from ..sources.shared import shared_dir
 from . import fixtures as fx
 from .oracles import ORACLES
 
@@ -304,19 +306,44 @@ def commit_lag_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return agreement.lag_percentiles(agreement.committed_log(fx.hypotheses(fx.words(spark, d))))
 
 
+def _stream(spark: SparkSession, rows: DataFrame, columns: str, run) -> DataFrame:
+    """``rows`` written in files that mix streams and steps, replayed one file a micro-batch through ``run``, until nothing is left."""
+    from ..streaming import captions
+
+    captions.use_rocksdb(spark)
+    folder = f"{shared_dir(spark)}/captions-{uuid.uuid4().hex}"
+    # Steps are dealt at random over files: order is the operator's business.
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("stream_id", "step"), F.lit(3)))
+    dealt.repartitionByRange(3, "part").drop("part").select(*(c.split()[0] for c in re.sub("<.*?>", "", columns).split(", "))).write.parquet(f"{folder}/in")
+    return captions.run_available(run(captions.replay(spark, f"{folder}/in", schema=columns)), f"{folder}/out", f"{folder}/checkpoint")
+
+
 @query
 def stream_captions(spark: SparkSession, d: str) -> DataFrame:
-    """The captions stream over the same hypotheses, run until nothing is left; its log must be the batch form's."""
+    """The captions stream over the same hypotheses; its log must be the batch form's."""
     from ..streaming import captions
 
-    captions.use_rocksdb(spark)
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="captions-")
-    key = spark.range(1).select(F.expr("uuid()")).first()[0]
-    folder = f"{base}/captions-{key}"
-    # One file per micro-batch, steps dealt at random over files: order is the operator's business.
-    h = fx.hypotheses(fx.words(spark, d)).withColumn("part", F.pmod(F.xxhash64("stream_id", "step"), F.lit(3)))
-    h.repartitionByRange(3, "part").drop("part").select("stream_id", "step", "clock_ms", "silent", "last", "hyp").write.parquet(f"{folder}/in")
-    out = captions.captions(captions.replay(spark, f"{folder}/in"), window_ms=None)
-    name = "captions_" + key.replace("-", "_")
-    got = captions.run_available(out, name, f"{folder}/checkpoint")
+    got = _stream(spark, fx.hypotheses(fx.words(spark, d)), captions.HYPOTHESES, lambda rows: captions.captions(rows, window_ms=None))
     return got.where("kind = 'stable'").select("stream_id", "seq", "w", "start_ms", "end_ms", "lag_ms", "forced")
+
+
+def _live(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks to captions: steps, silence, window, agreement, marks and screen in one stateful operator."""
+    from ..streaming import captions, live
+
+    return _stream(spark, fx.chunks(fx.words(spark, d)), captions.CHUNKS, lambda rows: captions.live_captions(rows, live.wavering, models.sentence_case_tagger, window_ms=6000))
+
+
+@query
+def stream_captions_full(spark: SparkSession, d: str) -> DataFrame:
+    """The log of the live captions."""
+    return _live(spark, d).where("kind = 'stable'").select("stream_id", "seq", "w", "start_ms", "end_ms", "lag_ms", "forced")
+
+
+@query
+def stream_screen(spark: SparkSession, d: str) -> DataFrame:
+    """What the live captions leave behind: the text with its marks, the last screen, the steps of silence that were dropped."""
+    got = _live(spark, d).where("kind in ('frozen', 'screen', 'skipped')")
+    last = lambda kind: F.max_by(F.when(F.col("kind") == kind, F.col("text")), F.when(F.col("kind") == kind, F.col("step")))
+    parts = F.array_sort(F.collect_list(F.when(F.col("kind") == "frozen", F.struct("step", "text"))))
+    return got.groupBy("stream_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("text"), last("screen").alias("screen"), last("skipped").cast("long").alias("skipped"))
