@@ -22,6 +22,8 @@ WINDOW, STRIDE = 512, 2
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 12, 8
 #: Training windows per language (about), and in all at most, but FEW of each language; windows taken of one document, evenly spaced.
 PER_LANG, MOST, FEW, PER_DOC = 3000, 24000, 50, 4
+#: Most labels whose table is broadcast.
+LABELS = 10_000
 #: Windows computed at once.
 AT_ONCE = 256
 #: A text is rejected if its windows find no language with that probability, unless it has too few letters to tell.
@@ -215,6 +217,8 @@ def sample_windows(docs: DataFrame, per_lang: int = PER_LANG, most: int = MOST)
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(77)), F.lit(1 << 30))
     # One row a label, as many as the network has outputs.
     chances = docs.sparkSession.createDataFrame([(x, 1.5 * want / n * (1 << 30)) for x, n in counts], "lang string, chance double")
+    # Up to that many rows of a label and a number travel to every task; beyond, the join deals texts by label.
+    chances = F.broadcast(chances) if len(counts) <= LABELS else chances
     rows = rows.withColumn("lang", F.col("lang").cast("string")).join(chances, "lang")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
