@@ -109,8 +109,9 @@ def empty_blocks(blocks: DataFrame, words: DataFrame, most: int = 6) -> DataFram
 
 def to_absolute(items: DataFrame, blocks: DataFrame, *cols: str) -> DataFrame:
     """Columns relative to a block's start made absolute by the block's f0."""
-    got = items.join(blocks.select("rec_id", "block_no", F.col("f0").alias("_f0")), ["rec_id", "block_no"])
-    return got.withColumns({c: F.col(c) + F.col("_f0") for c in cols}).drop("_f0")
+    starts = blocks.select("rec_id", "block_no", F.struct("f0").alias("_at"))
+    got = items.join(starts, ["rec_id", "block_no"])
+    return got.select(*((F.col(c) + F.col("_at.f0")).alias(c) if c in cols else c for c in items.columns))
 
 
 def progress_sample(steps: DataFrame) -> DataFrame:

@@ -349,6 +349,8 @@ ORACLES: dict[str, str] = {
     "turn_lines_txt": _with(_WORDS, _TURNS) + f"SELECT rec_id, turn_no, printf('[%02d:%02d] ', start_ms // 60000, start_ms // 1000 % 60) || CASE WHEN spk IS NULL THEN text ELSE {_label('spk')} || ': ' || text END AS line FROM turns",
     "txt_transcripts": _with(_WORDS, _TURNS) + f"SELECT rec_id, string_agg(printf('[%02d:%02d] ', start_ms // 60000, start_ms // 1000 % 60) || CASE WHEN spk IS NULL THEN text ELSE {_label('spk')} || ': ' || text END, chr(10) || chr(10) ORDER BY turn_no) AS content FROM turns GROUP BY rec_id",
     "words_from_tokens": _with(_WORDS, _TOKENS) + "SELECT * FROM token_words",
+    "recording_words": _with(_WORDS, _TOKENS) + "SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY block_no, n_in_block) - 1 AS idx, w, start_ms, end_ms FROM token_words",
+    "result_quality": _with(_WORDS) + "SELECT rec_id, count(*) FILTER (rec_id % 5 <> 0) AS n_words, rec_id % 5 = 0 AS no_speech FROM words GROUP BY rec_id",
     "even_spread": _with(_WORDS, _TOKENS) + """,
         bl AS (SELECT rec_id, CAST(idx // 40 AS INTEGER) AS block_no, min(start_ms) AS b0, max(end_ms) AS b1 FROM words GROUP BY ALL),
         es AS (SELECT t.*, b0, b1, count(*) OVER (PARTITION BY t.rec_id, t.block_no) AS n FROM token_words t JOIN bl ON bl.rec_id = t.rec_id AND bl.block_no = t.block_no)

@@ -53,6 +53,23 @@ def words_from_tokens(spark: SparkSession, d: str) -> DataFrame:
     return words.words_from_tokens(fx.tokens(fx.words(spark, d)))
 
 
+@query
+def recording_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words of blocks, timed from their block's start, as one list a recording in its own time."""
+    w = fx.words(spark, d)
+    blocks = fx.token_blocks(w).select("rec_id", "block_no", F.col("b0_ms").alias("f0"))
+    inside = words.words_from_tokens(fx.tokens(w)).join(blocks, ["rec_id", "block_no"])
+    inside = inside.select("rec_id", "block_no", "n_in_block", "w", (F.col("start_ms") - F.col("f0")).alias("start_ms"), (F.col("end_ms") - F.col("f0")).alias("end_ms"))
+    return words.recording_words(signal.to_absolute(inside, blocks, "start_ms", "end_ms"))
+
+
+@query
+def result_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth recording gave no words."""
+    w = fx.words(spark, d)
+    return words.result_quality(w, w.where("rec_id % 5 <> 0"))
+
+
 @query
 def even_spread(spark: SparkSession, d: str) -> DataFrame:
     w = fx.words(spark, d)
