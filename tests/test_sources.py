@@ -4,6 +4,7 @@ import struct
 import wave
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidewheel.operators import assemble
@@ -25,6 +26,26 @@ def test_wav_takes_first_channel_and_resamples(spark, tmp_path):
     assert got[0]["n"] == 16000 and abs(x.mean() - 0.5) < 1e-3
 
 
+def test_resampling_keeps_the_band_and_nothing_above_it():
+    t = np.arange(44100) / 44100
+    low, high = np.sin(2 * np.pi * 1000 * t), np.sin(2 * np.pi * 12000 * t)
+    got = audio.resample(low, 44100)
+    want = np.sin(2 * np.pi * 1000 * np.arange(16000) / 16000)
+    assert len(got) == 16000 and np.abs(got - want)[200:-200].max() < 1e-3
+    assert np.abs(audio.resample(high, 44100))[200:-200].max() < 1e-3
+    up = audio.resample(np.sin(2 * np.pi * 1000 * np.arange(8000) / 8000), 8000)
+    assert len(up) == 16000 and np.abs(up - want)[400:-400].max() < 1e-3
+    assert np.allclose(audio.resample(np.full(1000, 0.5), 48000), 0.5) and not len(audio.resample(np.zeros(0), 8000))
+
+
+def test_piped_decoder(spark, tmp_path):
+    (tmp_path / "a.raw").write_bytes(np.arange(5, dtype="<f4").tobytes() + b"x")
+    got = audio.read_audio(spark, str(tmp_path), audio.piped(["cat"]), "*.raw").collect()
+    assert [np.frombuffer(r["pcm"], "<f4").tolist() for r in got] == [[0, 1, 2, 3, 4]]
+    with pytest.raises(RuntimeError, match="false failed"):
+        audio.piped(["false"])(b"")
+
+
 def test_block_frames(spark, tmp_path):
     write_wav(tmp_path / "a.wav", np.concatenate([np.zeros(1600), np.full(1700, 0.25)]))
     got = sorted((r["frame"], round(r["rms"], 3)) for r in audio.block_frames(audio.read_audio(spark, str(tmp_path))).collect())

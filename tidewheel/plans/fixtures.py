@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import tokens as split_words
+from ..functions.vocab import hex_name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +78,44 @@ def token_blocks(w: DataFrame) -> DataFrame:
     return w.groupBy("rec_id", F.floor(F.col("idx") / 40).cast("int").alias("block_no")).agg(F.min("start_ms").alias("b0_ms"), F.max("end_ms").alias("b1_ms"))
 
 
+def _pieces(w: DataFrame) -> DataFrame:
+    """rec_id, block_no, nth, id, name, t_ms: words in pieces of 4 bytes, which may end inside a character.
+
+    An id is a piece's bytes read as a number behind a one, so no two pieces share it.
+    """
+    code = F.hex(F.encode("w", "UTF-8"))
+    each = w.select("rec_id", "idx", "start_ms", "end_ms", code.alias("code"), F.floor(F.col("idx") / 40).cast("int").alias("block_no"))
+    n = F.ceil(F.length("code") / 8)
+    each = each.select("*", n.alias("n"), F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("k"))
+    nth = F.row_number().over(Window.partitionBy("rec_id", "block_no").orderBy("idx", "k")) - 1
+    each = each.withColumn("nth", nth.cast("long"))
+    head = (F.col("k") == 0) & ~((F.col("nth") == 0) & (F.col("block_no") % 7 == 3))
+    code = F.concat(F.when(head, F.lit("20")).otherwise(F.lit("")), F.substring(F.col("code"), F.col("k") * 8 + 1, F.lit(8)))
+    t = F.when(F.col("k") == F.col("n") - 1, F.col("end_ms")).otherwise(F.col("start_ms"))
+    return each.select("rec_id", "block_no", "nth", F.conv(F.concat(F.lit("1"), code), 16, 10).cast("long").alias("id"), hex_name(code).alias("name"), t.alias("t_ms"))
+
+
+def vocabulary(w: DataFrame) -> DataFrame:
+    """id, name of every piece and of the control tokens."""
+    special = w.select((F.col("idx") % 40).alias("k")).distinct().select((-1 - F.col("k")).alias("id"), F.concat(F.lit("<|"), F.col("k").cast("string"), F.lit("|>")).alias("name"))
+    return _pieces(w).select("id", "name").distinct().unionByName(special)
+
+
+def spoken_blocks(w: DataFrame) -> DataFrame:
+    """rec_id, block_no, b0_ms, b1_ms, ids, times: blocks of 40 words and what a recogniser hears in them, after a control token; odd blocks have no times."""
+    item = F.array_sort(F.collect_list(F.struct("nth", "id", "t_ms")))
+    said = _pieces(w).groupBy("rec_id", "block_no").agg(item.alias("x"))
+    special = F.array((-1 - F.col("block_no") % 40).cast("long"))
+    ids = F.concat(special, F.transform("x", lambda x: x["id"]))
+    times = F.when(F.col("block_no") % 2 == 0, F.concat(F.array(F.lit(0).cast("long")), F.transform("x", lambda x: x["t_ms"])))
+    return token_blocks(w).join(said.select("rec_id", "block_no", ids.alias("ids"), times.alias("times")), ["rec_id", "block_no"])
+
+
+def voices(w: DataFrame) -> DataFrame:
+    """rec_id, nth, a_ms, b_ms, voice: the stretches of ``segments`` as a diarizer's input."""
+    return segments(w).select("rec_id", F.col("seg_idx").alias("nth"), "a_ms", "b_ms", F.col("spk").alias("voice"))
+
+
 def docs_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, toks of every document with words."""
     return table(spark, sf_dir, "documents").select("doc_id", split_words(F.col("text")).alias("toks")).where(F.size("toks") > 0)

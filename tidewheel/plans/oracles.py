@@ -28,10 +28,12 @@ sg AS (
 ),
 segments AS (SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY a_ms, turn) - 1 AS seg_idx, a_ms, b_ms, spk FROM sg)"""
 
-_TURNS = """
+def _turns(words: str) -> str:
+    """Turns of any table of words."""
+    return f"""
 tn AS (
     SELECT *, CASE WHEN lag(idx) OVER o IS NULL OR spk IS DISTINCT FROM lag(spk) OVER o OR start_ms - lag(end_ms) OVER o > 1200 THEN 1 ELSE 0 END AS new
-    FROM words WINDOW o AS (PARTITION BY rec_id ORDER BY idx)
+    FROM {words} WINDOW o AS (PARTITION BY rec_id ORDER BY idx)
 ),
 ti AS (SELECT *, sum(new) OVER (PARTITION BY rec_id ORDER BY idx) AS island FROM tn),
 tp AS (SELECT *, (row_number() OVER (PARTITION BY rec_id, island ORDER BY idx) - 1) // 110 AS part FROM ti),
@@ -44,6 +46,9 @@ turns AS (
     SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY i0) - 1 AS turn_no, spk, start_ms, end_ms, n_words, text FROM tg
 )"""
 
+
+_TURNS = _turns("words")
+
 #: The end of a cue depends on its start alone: the next start of every word, then the chain of starts.
 _CUES = """
 ca AS (
@@ -120,7 +125,7 @@ regions AS (
 )"""
 
 
-def _blocks(regions: str) -> str:
+def _blocks(regions: str, target: int = 25) -> str:
     """Blocks of every region: the cut after each possible start, then the chain of starts."""
     return f"""
     rg AS (SELECT rec_id, region_no, CAST(f0 AS BIGINT) AS f0, CAST(f1 AS BIGINT) AS f1 FROM {regions}),
@@ -129,7 +134,7 @@ def _blocks(regions: str) -> str:
     sc AS (
         SELECT st.rec_id, st.region_no, st.s, fr.frame,
                (fr.rms - min(fr.rms) OVER p) / greatest(max(fr.rms) OVER p - min(fr.rms) OVER p, 1e-9)
-               + 0.35 * abs(fr.frame - st.s - 12 - 13) / count(*) OVER p AS score
+               + 0.35 * abs(fr.frame - st.s - {target}) / count(*) OVER p AS score
         FROM sx st JOIN frames fr ON fr.rec_id = st.rec_id AND fr.frame = st.frame
         WINDOW p AS (PARTITION BY st.rec_id, st.region_no, st.s)
     ),
@@ -163,6 +168,41 @@ token_words AS (
     SELECT rec_id, block_no, row_number() OVER (PARTITION BY rec_id, block_no ORDER BY grp) - 1 AS n_in_block, w, start_ms, end_ms FROM tw WHERE w <> ''
 )"""
 
+_IDS = """
+ik AS (
+    SELECT rec_id, idx, hex(encode(w)) AS code, start_ms, end_ms, CAST(idx // 40 AS INTEGER) AS block_no, unnest(range(0, (octet_length(encode(w)) + 3) // 4)) AS k FROM words
+),
+ix AS (SELECT *, row_number() OVER (PARTITION BY rec_id, block_no ORDER BY idx, k) - 1 AS nth FROM ik),
+iy AS (
+    SELECT *, k = 0 AND NOT (nth = 0 AND block_no % 7 = 3) AS head, substr(code, k * 8 + 1, 8) AS piece,
+           CASE WHEN block_no % 2 = 1 THEN NULL WHEN k = length(code) // 8 - (length(code) % 8 = 0)::INT THEN end_ms ELSE start_ms END AS t_ms FROM ix
+),
+iz AS (SELECT *, sum(CASE WHEN head OR nth = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id, block_no ORDER BY nth) AS grp FROM iy),
+id_words AS (
+    SELECT rec_id, block_no, row_number() OVER (PARTITION BY rec_id, block_no ORDER BY grp) - 1 AS n_in_block,
+           decode(unhex(string_agg(piece, '' ORDER BY nth))) AS w, arg_min_null(t_ms, nth) AS start_ms, arg_max_null(t_ms, nth) AS end_ms
+    FROM iz GROUP BY rec_id, block_no, grp
+)"""
+
+
+def _heard(times: bool) -> str:
+    """Words of a recording in one order; those without times share their block's."""
+    bare = "start_ms IS NULL" if times else "true"
+    return f"""
+hb AS (SELECT rec_id, CAST(idx // 40 AS INTEGER) AS block_no, min(start_ms) AS b0, max(end_ms) AS b1 FROM words GROUP BY ALL),
+hc AS (SELECT t.*, b0, b1, count(*) OVER (PARTITION BY t.rec_id, t.block_no) AS n FROM id_words t JOIN hb ON hb.rec_id = t.rec_id AND hb.block_no = t.block_no),
+hd AS (
+    SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY block_no, n_in_block) - 1 AS idx, w,
+           CASE WHEN ({bare}) AND b1 > b0 THEN b0 + (b1 - b0) * n_in_block // n {'ELSE start_ms' if times else ''} END AS start_ms,
+           CASE WHEN ({bare}) AND b1 > b0 THEN b0 + (b1 - b0) * (n_in_block + 1) // n {'ELSE end_ms' if times else ''} END AS end_ms FROM hc
+),
+heard AS (
+    SELECT rec_id, idx, w, start_ms,
+           CASE WHEN end_ms - start_ms < 80 THEN greatest(end_ms, least(start_ms + 80, greatest(coalesce(lead(start_ms) OVER (PARTITION BY rec_id ORDER BY idx), end_ms), start_ms))) ELSE end_ms END AS end_ms
+    FROM hd
+)"""
+
+
 _DOCS = r"""
 dw AS (
     SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS toks FROM documents
@@ -204,10 +244,12 @@ def _with(*parts: str, recursive: bool = False) -> str:
 
 
 #: Left-to-right fold over the runs, which sees earlier relabels.
-_SMOOTH = """
+def _smooth(words: str) -> str:
+    """Runs and their smoothing as a fold from left to right."""
+    return f"""
 rn AS (
     SELECT *, CASE WHEN lag(idx) OVER o IS NULL OR spk IS DISTINCT FROM lag(spk) OVER o THEN 1 ELSE 0 END AS new
-    FROM words WINDOW o AS (PARTITION BY rec_id ORDER BY idx)
+    FROM {words} WINDOW o AS (PARTITION BY rec_id ORDER BY idx)
 ),
 ri AS (SELECT *, CAST(sum(new) OVER (PARTITION BY rec_id ORDER BY idx) - 1 AS BIGINT) AS run_no FROM rn),
 runs AS (
@@ -225,8 +267,14 @@ fold AS (
 ),
 smoothed AS (SELECT ri.rec_id, ri.idx, fold.now AS spk, fold.taken AS relabelled FROM ri JOIN fold ON fold.rec_id = ri.rec_id AND fold.run_no = ri.run_no)"""
 
-_OVERLAP = """
-wt AS (SELECT rec_id, idx, start_ms AS t0, CASE WHEN end_ms <= start_ms THEN start_ms + 50 ELSE end_ms END AS t1 FROM words),
+
+_SMOOTH = _smooth("words")
+
+
+def _overlap(words: str) -> str:
+    """The segment that a word overlaps most, and the nearest one."""
+    return f"""
+wt AS (SELECT rec_id, idx, start_ms AS t0, CASE WHEN end_ms <= start_ms THEN start_ms + 50 ELSE end_ms END AS t1 FROM {words}),
 ov AS (
     SELECT rec_id, idx, spk FROM (
         SELECT wt.rec_id, wt.idx, s.spk, row_number() OVER (PARTITION BY wt.rec_id, wt.idx ORDER BY least(t1, b_ms) - greatest(t0, a_ms) DESC, s.seg_idx) AS r
@@ -243,6 +291,9 @@ nr AS (
     ) WHERE r = 1
 )"""
 
+
+_OVERLAP = _overlap("words")
+
 #: LocalAgreement as a recursive fold over the steps of every stream.
 _AGREE = f"""
 ag AS (
@@ -337,6 +388,12 @@ lived AS (
     FROM lu
 )"""
 
+_ATTACHED = """
+attached AS (
+    SELECT h.rec_id, h.idx, h.w, h.start_ms, h.end_ms, CASE WHEN ov.idx IS NOT NULL THEN ov.spk ELSE nr.spk END AS spk
+    FROM heard h LEFT JOIN ov ON ov.rec_id = h.rec_id AND ov.idx = h.idx LEFT JOIN nr ON nr.rec_id = h.rec_id AND nr.idx = h.idx
+)"""
+
 _C = _with(_WORDS, _CUES, recursive=True)
 _B = _with(_WORDS, _CUES, _BODIES, recursive=True)
 _G = _with(_FRAMES, _REGIONS)
@@ -351,6 +408,12 @@ ORACLES: dict[str, str] = {
     "words_from_tokens": _with(_WORDS, _TOKENS) + "SELECT * FROM token_words",
     "recording_words": _with(_WORDS, _TOKENS) + "SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY block_no, n_in_block) - 1 AS idx, w, start_ms, end_ms FROM token_words",
     "result_quality": _with(_WORDS) + "SELECT rec_id, count(*) FILTER (rec_id % 5 <> 0) AS n_words, rec_id % 5 = 0 AS no_speech FROM words GROUP BY rec_id",
+    "words_from_ids": _with(_WORDS, _IDS) + "SELECT * FROM id_words",
+    "transcript_full": _with(_WORDS, _SEGMENTS, _IDS, _heard(True), _overlap("heard"), _ATTACHED, _smooth("attached"), recursive=True) + """SELECT h.rec_id, h.idx, h.w || ',' AS w, h.start_ms, h.end_ms, s.spk, s.relabelled
+        FROM heard h JOIN smoothed s ON s.rec_id = h.rec_id AND s.idx = h.idx""",
+    "transcript_one_speaker": _with(_WORDS, _SEGMENTS, _IDS, _heard(False), _overlap("heard"), _ATTACHED, "one AS (SELECT rec_id, idx, w, start_ms, end_ms, spk * 0 AS spk FROM attached)", _turns("one")) + "SELECT * FROM turns",
+    "transcript_plain": _with(_WORDS, _IDS, _heard(True)) + "SELECT *, CAST(NULL AS INTEGER) AS spk FROM heard",
+    "ungated_blocks": _with(_FRAMES, "whole AS (SELECT rec_id, 0 AS region_no, 0 AS f0, max(frame) + 1 AS f1 FROM frames GROUP BY rec_id)", _blocks("whole", 20), recursive=True) + "SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY f0) - 1 AS block_no, f0, f1 FROM blocks",
     "even_spread": _with(_WORDS, _TOKENS) + """,
         bl AS (SELECT rec_id, CAST(idx // 40 AS INTEGER) AS block_no, min(start_ms) AS b0, max(end_ms) AS b1 FROM words GROUP BY ALL),
         es AS (SELECT t.*, b0, b1, count(*) OVER (PARTITION BY t.rec_id, t.block_no) AS n FROM token_words t JOIN bl ON bl.rec_id = t.rec_id AND bl.block_no = t.block_no)

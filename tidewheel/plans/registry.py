@@ -7,13 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..config import PipelineConfig
 from ..functions import models
 from ..functions.clock import minute_stamp, output_name, stamp, stem
 from ..functions.text import agreement_key, collapse, ends_sentence, nonempty_join, screen_lines, sentence_case, token_budget, tokens, wrap_two
 from ..operators import agreement, assemble, punctuate, signal, speakers, words
 from ..sources import files
 from ..sources.shared import shared_dir
-from . import fixtures as fx
+from . import fixtures as fx, transcript
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -70,6 +71,45 @@ def result_quality(spark: SparkSession, d: str) -> DataFrame:
     return words.result_quality(w, w.where("rec_id % 5 <> 0"))
 
 
+@query
+def words_from_ids(spark: SparkSession, d: str) -> DataFrame:
+    """A recogniser's ids by way of a byte-level vocabulary; pieces end inside characters."""
+    w = fx.words(spark, d)
+    heard = models.recognise(fx.spoken_blocks(w), models.reciting)
+    return words.words_from_tokens(words.name_tokens(heard, fx.vocabulary(w)))
+
+
+def _transcript(spark: SparkSession, d: str, config: PipelineConfig) -> DataFrame:
+    w = fx.words(spark, d)
+    return transcript.transcript_words(fx.spoken_blocks(w), fx.vocabulary(w), fx.voices(w), config, models.reciting, models.pausing, models.grouping)
+
+
+@query
+def transcript_full(spark: SparkSession, d: str) -> DataFrame:
+    """Every stage of the file path; the threshold finds the speakers."""
+    return _transcript(spark, d, PipelineConfig()).select("rec_id", "idx", "w", "start_ms", "end_ms", "spk", "relabelled")
+
+
+@query
+def transcript_one_speaker(spark: SparkSession, d: str) -> DataFrame:
+    """A known number of speakers, neither marks nor word times; turns."""
+    config = PipelineConfig(speakers=1, punctuate=False, word_times=False)
+    return transcript.transcript_turns(_transcript(spark, d, config), config).select("rec_id", "turn_no", "spk", "start_ms", "end_ms", "n_words", "text")
+
+
+@query
+def transcript_plain(spark: SparkSession, d: str) -> DataFrame:
+    """No speakers: words as they were heard."""
+    return _transcript(spark, d, PipelineConfig(diarize=False, punctuate=False)).select("rec_id", "idx", "w", "start_ms", "end_ms", "spk")
+
+
+@query
+def ungated_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The whole signal in shorter blocks."""
+    fr = fx.frames(spark, d)
+    return transcript.speech_blocks(fr, fx.totals(fr), PipelineConfig(gate=False, target=20), LOUD)
+
+
 @query
 def even_spread(spark: SparkSession, d: str) -> DataFrame:
     w = fx.words(spark, d)
