@@ -48,6 +48,25 @@ def test_mix_meets_targets_and_repeats(spark):
     assert sum(rs[0]["target"] for rs in by.values()) == pytest.approx(sum(r["size"] for r in got))
 
 
+@pytest.mark.parametrize("probs", [[0.6, 0.2, 0.1, 0.06, 0.04], [0.98, 0.01, 0.004, 0.004, 0.002], [0.5, 0.5, 0, 0, 0]])
+def test_mix_equals_sql(spark, tmp_path, probs):
+    import duckdb
+
+    from tidewheel.llm.registry import ORACLES, QUERIES
+
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 50 == 7 else i, None if i % 31 == 0 else "w\tä\u00a0b \n" * int(rng.integers(0, 60)), None, (None, "", "é", "Z", "a")[int(rng.choice(5, p=probs))], None) for i in range(900)]
+    rows += [(1000, None, None, "empty", None), (1001, "", None, "empty", 0)] + rows[:40]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = con.execute(ORACLES["op4_mixing"])
+    cols = [c[0] for c in got.description]
+    have = QUERIES["op4_mixing"](spark, str(tmp_path)).select(*cols).collect()
+    assert sorted(map(repr, map(tuple, have))) == sorted(map(repr, got.fetchall())) and len(have) == len(rows)
+
+
 def test_mix_edges(spark):
     got = mixing.mix(documents(spark), Workspace(spark, "t")).collect()
     assert len(got) == len(TEXTS) + 2 and all(r["size"] == 0 for r in got if r["doc_id"] in (3, 4, 5))

@@ -20,6 +20,12 @@ from .text import WORD
 BUCKETS = 4096
 
 
+def drawn(doc_id: Column, seed: int) -> Column:
+    """A seeded number of 32 bits for each doc_id, as any engine with MD5 finds it; a null counts as the word ``null``."""
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long")
+
+
 def word_count(text: Column) -> Column:
     """Number of words in the whole text; 0 for null."""
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
@@ -67,7 +73,7 @@ def mix(docs: DataFrame, ws: Workspace, weights: tuple[float, ...] = (1, 2, 3),
     doc_id hashes like any value.  Empty table: empty result; further columns
     are ignored.
     """
-    hashed = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    hashed = drawn(F.col("doc_id"), seed)
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     sized = ws.save(sized.withColumn("bucket", F.pmod(hashed, F.lit(BUCKETS)).cast("int")), "sizes")
     held = ws.save(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
@@ -76,7 +82,7 @@ def mix(docs: DataFrame, ws: Workspace, weights: tuple[float, ...] = (1, 2, 3),
     plan = ws.save(cut_buckets(held, targets), "plan")
     rows = sized.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).select("doc_id", "source", "size", "source_size", "target", "whole", "cut", "part", "bucket")
     copies = F.col("whole") + F.when(F.col("bucket") < F.col("cut"), 1).otherwise(0)
-    some = F.when(F.col("bucket") == F.col("cut"), F.floor(F.col("size") * F.col("part") + F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed + 1)), F.lit(1 << 20)) / float(1 << 20))).otherwise(F.lit(0))
+    some = F.when(F.col("bucket") == F.col("cut"), F.floor(F.col("size") * F.col("part") + F.pmod(drawn(F.col("doc_id"), seed + 1), F.lit(1 << 20)) / float(1 << 20))).otherwise(F.lit(0))
     rows = rows.withColumn("copies", copies.cast("long"))
     return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies") + F.least("size", some)).cast("long").alias("taken"), "copies")
 
@@ -109,13 +115,13 @@ def sample_mix(docs: DataFrame, ws: Workspace, weights: tuple[float, ...] = (1,
     documents of a source without words don't come.  Columns may have any name.
     An empty table gives an empty result.
     """
-    key = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    key = drawn(F.col("doc_id"), seed)
     sized = docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.pmod(key, F.lit(BUCKETS)).cast("int").alias("bucket"))
     held = ws.save(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
     targets = ws.save(source_targets(held.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs, share), "targets")
     plan = ws.save(cut_buckets(held, targets), "plan")
     # The row travels as one struct, apart from what is added beside it.
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("source").cast("string").alias("source"), F.pmod(key, F.lit(BUCKETS)).cast("int").alias("bucket"), (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed + 1)), F.lit(1 << 20)) / float(1 << 20)).alias("chance"))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("source").cast("string").alias("source"), F.pmod(key, F.lit(BUCKETS)).cast("int").alias("bucket"), (F.pmod(drawn(F.col("doc_id"), seed + 1), F.lit(1 << 20)) / float(1 << 20)).alias("chance"))
     rows = row.join(plan, F.col("source").eqNullSafe(F.col("p_source")))
     more = (F.col("bucket") < F.col("cut")) | ((F.col("bucket") == F.col("cut")) & (F.col("chance") < F.col("part")))
     rows = rows.select("row", (F.col("whole") + F.when(more, 1).otherwise(0)).cast("int").alias("copies")).where("copies > 0")
