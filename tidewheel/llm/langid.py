@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .store import small_slices
+
 #: Bytes of a window, and of the step from one filter position to the next.
 WINDOW, STRIDE = 512, 2
 #: Filter widths, filters of each, and size of a byte's embedding.
@@ -128,15 +130,11 @@ def train(parts: list[bytes], labels: list[str], epochs: int = 10, batch: int =
 def judge(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Of every text the mean log-probabilities of its windows, and how sure its windows are: the mean of their best language's probability."""
     real = np.array([x != NOISE for x in net.langs])
-    parts, owner = [], []
-    for i, raw in enumerate(texts):
-        got = windows(raw)
-        parts += got
-        owner += [i] * len(got)
+    each = ((raw[k : k + WINDOW], i) for i, raw in enumerate(texts) for k in range(0, len(raw), WINDOW))
     total, weight, sure = np.zeros((len(texts), len(net.langs))), np.zeros(len(texts)), np.zeros(len(texts))
-    # Windows of many texts are computed together.
-    for at in range(0, len(parts), AT_ONCE):
-        some, own = parts[at : at + AT_ONCE], owner[at : at + AT_ONCE]
+    # Windows of many texts are computed together, and cut when their turn comes.
+    while pairs := list(islice(each, AT_ONCE)):
+        some, own = [p for p, _ in pairs], [i for _, i in pairs]
         n = np.array([len(p) for p in some], np.float64)
         log_p = forward(net, matrix(some))
         np.add.at(total, own, log_p * n[:, None])
@@ -222,7 +220,7 @@ def sample_windows(docs: DataFrame, per_lang: int = PER_LANG, most: int = MOST)
     rows = rows.withColumn("lang", F.col("lang").cast("string")).join(chances, "lang")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_slices(batches, "raw"):
             ids, langs, parts = [], [], []
             for i, lang, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 got = windows(raw)
@@ -258,7 +256,7 @@ def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_slices(batches, "text"):
             texts = b.column(2).to_pylist()
             some = [i for i, t in enumerate(texts) if net is not None and t and has_letter(t)]
             langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -288,7 +286,7 @@ def keep_identified(docs: DataFrame, least: float = LEAST, enough: int = ENOUGH)
     fields = docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_slices(batches, "text"):
             texts = b.column("text").to_pylist()
             ok = [bool(t) and has_letter(t) for t in texts]
             at = [i for i, t in enumerate(texts) if ok[i] and net is not None and has_letters(t, enough)]

@@ -7,8 +7,12 @@ whole chain, and gives the planner true sizes for what follows.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import shared_dir
@@ -30,6 +34,18 @@ def small_batches(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def small_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Every batch in slices of at most ``most`` bytes of ``column``, or of one longer row: whoever writes the result sets the size of batches."""
+    for b in batches:
+        size = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(b):
+            upto = int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right"))
+            end = max(upto, at + 1)
+            yield b.slice(at, end - at)
+            at = end
+
+
 class Workspace:
     """Written tables of one run of an operator, under a folder of its own."""
 
