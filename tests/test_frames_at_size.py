@@ -32,7 +32,7 @@ def broadcast_rows(plan):
         yield from broadcast_rows(p)
 
 
-@pytest.mark.parametrize("name", ["speech_regions", "empty_blocks", "progress_sample", "skipped_ranges", "speech_totals", "pause_blocks", "ungated_blocks"])
+@pytest.mark.parametrize("name", ["speech_regions", "empty_blocks", "progress_sample", "skipped_ranges", "speech_totals", "pause_blocks", "ungated_blocks", "gated_blocks"])
 def test_no_exploded_table_is_broadcast(spark, many, name):
     df = QUERIES[name](spark, many)
     assert df.collect()
