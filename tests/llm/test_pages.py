@@ -268,6 +268,26 @@ def test_licences_and_inheritance(spark):
     assert licenses.scan(df.limit(0), Workspace(spark, "t")).count() == 0
 
 
+def test_documents_that_are_licences_license_their_directory(spark, tmp_path):
+    """The whole query: a document is a licence file by what it says, not for a notice in it."""
+    from tidewheel.llm.registry import QUERIES
+
+    bsd, mit = (next(t for t in licenses.TEXTS if t.startswith(x)) for x in ("Redistribution", "Permission is hereby"))
+    gpl = "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n Preamble\n\n" + "These words say what the terms are. " * 500
+    rows = [
+        (1, "src0", "en", "some prose"), (-2, "src0", "en", "MIT License\n\nCopyright (c) 2021 X\n\n" + wrapped(mit, "  ", 60)), (3, "src0", "en", "Prose.\nLicensed under CC BY 4.0."), (4, "src0", "en", None), (5, "src0", "de", "prose"),
+        (6, "src1", "en", "prose"), (7, "src1", "en", wrapped(bsd, "", 72)), (8, None, None, "prose"), (9, None, None, gpl), (10, "src2", "en", "Released under the MIT License."), (11, "src2", "en", "prose"),
+        (12, "src3", "en", mit + " code" + "".join(f" word{i}" for i in range(200))), (13, "src3", "en", "prose"),
+    ]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["license"], r["inherited_from"]) for r in QUERIES["op8_licenses"](spark, str(tmp_path)).collect()}
+    at0, at1, at8 = "src0/en/LICENSE.-2.txt", "src1/en/LICENSE.7.txt", "_/_/LICENSE.9.txt"
+    assert got == {
+        1: ("MIT", at0), -2: ("MIT", None), 3: ("CC-BY-4.0", None), 4: ("MIT", at0), 5: (None, None), 6: ("BSD-2-Clause", at1), 7: ("BSD-2-Clause", None),
+        8: ("GPL-3.0", at8), 9: ("GPL-3.0", None), 10: ("MIT", None), 11: (None, None), 12: ("MIT", None), 13: (None, None),
+    }
+
+
 def test_sibling_containers_without_article_all_stay(spark):
     page = "<html><head><title>t</title></head><body><h1>Title {0}</h1><div class=lead>Lead {0} {1}</div><div class=box>Same box</div><div class=text><p>Body {0} {2}</p><p>More {0} {2}</p></div></body></html>"
     html = [page.format(w, f"{w} " * 8, f"{w} " * 20) for w in ("alpha", "beta", "gamma", "delta")]

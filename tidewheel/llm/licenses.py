@@ -11,6 +11,8 @@ nearest ancestor directory that holds a licence file.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .store import Workspace
@@ -77,10 +79,14 @@ TEMPLATES = (
     ("Unlicense", f"{_FREE} {_FREE_ALL}"),
 )
 
+#: Whole licence texts, and the dated titles that open those that are too long for a template.
+TEXTS = tuple(t for _, t in TEMPLATES if t.endswith((_WARRANTY, _BSD_WARRANTY, _ISC_WARRANTY, _FREE_ALL)))
+TITLES = tuple(t for _, t in TEMPLATES if t.startswith(("GNU ", "Apache License")))
+
 #: What a passage must hold to be compared at all; every template does, and what is left of one with half its words (a test measures how often).
 CUE = (
     r"(?i)\blicen[sc]e|\blicen[sc]ing|spdx|copyright|public (domain|licen)|permission (is|to)\b|permissions?\b|redistribut|\bCC[ -](BY|0)\b"
-    r"|\b(apache|mozilla|affero|creative commons|unencumbered|sublicense|contributors?|free software|applicable law|in compliance|express or implied|binary forms?)\b"
+    r"|\b(apache|mozilla|affero|creative commons|unencumbered|sublicense|contributors?|free software|applicable law|compliance|express or implied|binary forms?|attribution|endorse|governed by|later version|without modification)\b"
     r"|warrant|merchantab|disclaim|noninfring|derivative works|(?-i:\b(GNU|A?GPL|LGPL|MPL|BSD|MIT|AS IS|BY-(NC|SA))\b)"
 )
 #: Marks of comments at the start of a line, with the space around them.
@@ -145,7 +151,7 @@ def scan(files: DataFrame, ws: Workspace, templates: tuple[tuple[str, str], ...]
     headers = ws.save(passages.join(best, "passage").select("path", "no", "license", "score"), "headers")
     own = headers.where("path is not null").groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("far"), "license")).alias("m"), F.count_distinct(F.when(F.col("no") >= 0, F.col("no"))).alias("n"))
     own = ws.save(own.select("path", F.col("m.license").alias("own_license"), (-F.col("m.far")).alias("score"), F.col("n").alias("n_headers"), named.alias("is_license_file")), "own")
-    paths = base.select("path", directory(F.col("path")).alias("dir"))
+    paths = ws.save(base.select("path", directory(F.col("path")).alias("dir")), "paths")
     holders = own.where("is_license_file and path is not null").select(directory(F.col("path")).alias("holder"), "path", "own_license")
     holders = ws.save(holders.groupBy("holder").agg(F.min(F.struct("path", "own_license")).alias("m")).select("holder", F.col("m.path").alias("inherited_from"), F.col("m.own_license").alias("inherited")), "holders")
     dirs = ws.save(paths.where("dir is not null").select("dir").distinct(), "dirs")
@@ -176,7 +182,18 @@ def _templates(spark: SparkSession, templates: tuple[tuple[str, str], ...]) -> D
     return spark.range(1).select(F.inline(rows))
 
 
+def is_text(text: Column) -> Column:
+    """Whether a text is a licence as a whole: it opens with the title of a long one, or grants in ``LEAST`` of the distinct words that it and a short one have."""
+    title = "|".join(r"\s+".join(map(re.escape, t.split())) for t in TITLES)
+    held = F.array_distinct(terms(text))
+    close = lambda t: F.size(F.array_intersect(held, t)) >= LEAST * F.size(F.array_union(held, t))
+    known = [F.array(*map(F.lit, dict.fromkeys(re.findall(TERM, t.lower())))) for t in TEXTS]
+    grants = F.lower(text).contains("permi") | F.lower(text).contains("unencumbered")
+    return F.coalesce(text.rlike(rf"(?i)^\s*+(?:{title})"), F.lit(False)) | F.when(grants, F.exists(F.array(*known), close)).otherwise(False)
+
+
 def document_paths(docs: DataFrame) -> DataFrame:
-    """Documents as files: source/lang/doc_id.txt, with an empty name for a null source or lang."""
-    path = F.concat_ws("/", F.coalesce(F.col("source").cast("string"), F.lit("_")), F.coalesce(F.col("lang").cast("string"), F.lit("_")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    """Documents as files: source/lang/doc_id.txt, with ``_`` for a null source or lang; LICENSE.doc_id.txt if the text is a licence as a whole, which licenses its directory."""
+    name = F.concat(F.when(is_text(F.col("text").cast("string")), F.lit("LICENSE.")).otherwise(F.lit("")), F.col("doc_id").cast("string"), F.lit(".txt"))
+    path = F.concat_ws("/", F.coalesce(F.col("source").cast("string"), F.lit("_")), F.coalesce(F.col("lang").cast("string"), F.lit("_")), name)
     return docs.select(F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text")
